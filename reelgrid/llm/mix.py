@@ -9,8 +9,8 @@ Only these sums, some numbers for each source of the mix, come to the driver.
 
 Rates become copies: the whole part is kept, and the fractional parts are filled in the order of a hash of the document's
 key divided by its fraction (sequential Poisson sampling) until the source's tokens are reached. The threshold of that
-order is found by histograms of 1,024 bins refined in rounds, not by a sort; so it is deterministic and exact to a few
-documents.
+order is found by histograms of 1,024 bins refined in rounds, not by a sort. A document larger than what is left is passed over and
+the search goes on behind it. The result is deterministic, and misses a goal by less than the smallest document passed over.
 
 The total is the largest at which every source can have its share under its cap, unless a smaller one is given.
 
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from reelgrid import session
 
 BINS, ROUNDS, STEPS = 1024, 4, 40
+#: Passes that fill what a document too large for the rest has left open, and the part of its goal a source may miss.
+PASSES, CLOSE = 8, 2e-4
 
 
 def _by_source(values: dict[str, float]) -> Column:
@@ -107,25 +109,37 @@ def copies(rated: DataFrame, goal: dict[str, float]) -> DataFrame:
     if not goal:
         return keyed.select("doc_id", "source", "tokens", F.lit(0).alias("copies")).limit(0)
     had = {r["source"]: r["t"] for r in keyed.groupBy("source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("t")).collect()}
-    low, high, rest = dict.fromkeys(goal, 0.0), dict.fromkeys(goal, 1.0), {s: goal[s] - had.get(s, 0) for s in goal}
-    for _ in range(ROUNDS):
-        lo, hi = _by_source(low), _by_source(high)
-        inside = keyed.filter((F.col("place") >= lo) & (F.col("place") < hi))
-        bin_ = F.least(F.floor((F.col("place") - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
-        hist: dict[str, dict[int, int]] = {s: {} for s in goal}
-        for r in inside.groupBy("source", bin_.alias("bin")).agg(F.sum("tokens").alias("t")).collect():
-            hist[r["source"]][r["bin"]] = r["t"]
-        for s in goal:
-            k, size = 0, (high[s] - low[s]) / BINS
-            while k < BINS and hist[s].get(k, 0) <= rest[s]:
-                rest[s] -= hist[s].get(k, 0)
-                k += 1
-            if k == BINS:  # everything up to the upper end is taken
-                low[s] = high[s]
-            else:
-                low[s], high[s] = low[s] + k * size, low[s] + (k + 1) * size
-    taken = F.when(F.col("place") < _by_source(low), 1).otherwise(0)
-    return keyed.withColumn("copies", F.col("whole") + taken).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+    rest = {s: goal[s] - had.get(s, 0) for s in goal}
+    done: dict[str, float] = dict.fromkeys(goal, 0.0)  # everything placed before this is taken, but for the gaps
+    gaps: dict[str, list[tuple[float, float]]] = {s: [] for s in goal}
+    for _ in range(PASSES):
+        going = [s for s in goal if done[s] < 1.0 and rest[s] > CLOSE * goal[s]]
+        if not going:
+            break
+        low, high = {s: done[s] for s in going}, dict.fromkeys(going, 1.0)
+        for _ in range(ROUNDS):
+            lo, hi = _by_source(low), _by_source(high)
+            inside = keyed.filter(F.col("source").isin(*going)).filter((F.col("place") >= lo) & (F.col("place") < hi))
+            bin_ = F.least(F.floor((F.col("place") - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
+            hist: dict[str, dict[int, int]] = {s: {} for s in going}
+            for r in inside.groupBy("source", bin_.alias("bin")).agg(F.sum("tokens").alias("t")).collect():
+                hist[r["source"]][r["bin"]] = r["t"]
+            for s in going:
+                k, size = 0, (high[s] - low[s]) / BINS
+                while k < BINS and hist[s].get(k, 0) <= rest[s]:
+                    rest[s] -= hist[s].get(k, 0)
+                    k += 1
+                low[s], high[s] = (high[s], high[s]) if k == BINS else (low[s] + k * size, low[s] + (k + 1) * size)
+        for s in going:
+            if low[s] < high[s]:  # what is left here is larger than the rest; smaller documents may follow
+                gaps[s].append((low[s], high[s]))
+            done[s] = high[s]
+    place = F.col("place")
+    taken = place < _by_source(done)
+    for k in range(max(map(len, gaps.values()))):
+        kth = {s: g[k] if len(g) > k else (2.0, 2.0) for s, g in gaps.items()}
+        taken = taken & ~((place >= _by_source({s: g[0] for s, g in kth.items()})) & (place < _by_source({s: g[1] for s, g in kth.items()})))
+    return keyed.withColumn("copies", F.col("whole") + taken.cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
 def mixture(counted: DataFrame, mix: DataFrame, total: float | None = None) -> tuple[DataFrame, dict[str, tuple[float, int]]]:
