@@ -33,13 +33,17 @@ BINS, ROUNDS, STEPS = 1024, 4, 40
 PASSES, CLOSE = 8, 2e-4
 
 
-def _by_source(values: dict[str, float]) -> Column:
-    """The value of a row's source; the mix is a small configuration table, so this is a literal map."""
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("source")]
+def _with(df: DataFrame, kinds: str, values: dict[str, tuple]) -> DataFrame:
+    """``df`` with numbers of each row's source; rows of other sources go. The mix is a small table, as it is configuration."""
+    numbers = df.sparkSession.createDataFrame([(s, *v) for s, v in values.items()], f"source string, {kinds}")
+    return df.join(F.broadcast(numbers), "source")
 
 
-def _rate(a: dict[str, float], b: dict[str, float], mean: dict[str, float]) -> Column:
-    return F.exp(F.least(_by_source(a) + _by_source(b) * F.col("tokens") / _by_source(mean), F.lit(50.0)))
+def _rate() -> Column:
+    return F.exp(F.least(F.col("__a") + F.col("__b") * F.col("tokens") / F.col("__mean"), F.lit(50.0)))
+
+
+_AB = "__a double, __b double, __mean double"
 
 
 def rates(counted: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, tolerance: float = 1e-10) -> tuple[DataFrame, dict[str, float]]:
@@ -47,7 +51,7 @@ def rates(counted: DataFrame, targets: dict[str, tuple[float, int]], total: floa
 
     ``counted`` holds (doc_id, source, tokens) of the documents that have tokens; it is read once per step.
     """
-    sizes = {r["source"]: (r["t"], r["n"]) for r in counted.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["source"]: (r["t"], r["n"]) for r in _with(counted, "__any int", {s: (0,) for s in targets}).groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     wanted = {s: v for s, v in targets.items() if v[0] > 0 and v[1] > 0}
     if short := [s for s in wanted if s not in sizes]:
         raise ValueError(f"no tokens in {', '.join(short)}")
@@ -58,12 +62,12 @@ def rates(counted: DataFrame, targets: dict[str, tuple[float, int]], total: floa
     # in units of the source's own tokens and documents, both constraints ask for the same multiple
     multiple = {s: goal[s] / sizes[s][0] for s in wanted}
     a, b = dict.fromkeys(wanted, 0.0), dict.fromkeys(wanted, 0.0)
-    open_, mine = set(wanted), counted.filter(F.col("source").isin(*wanted)) if wanted else counted.limit(0)
+    going = set(wanted)
 
     def sums(a: dict[str, float], b: dict[str, float]) -> dict[str, tuple[float, ...]]:
-        r, x = _rate(a, b, mean), F.col("tokens") / _by_source(mean)
-        rows = mine.groupBy("source").agg(F.sum(r).alias("r"), F.sum(r * x).alias("x"), F.sum(r * x * x).alias("xx")).collect()
-        return {q["source"]: (q["r"] / sizes[q["source"]][1], q["x"] / sizes[q["source"]][1], q["xx"] / sizes[q["source"]][1]) for q in rows}
+        r, x = _rate(), F.col("tokens") / F.col("__mean")
+        rows = _with(counted, _AB, {s: (a[s], b[s], mean[s]) for s in sorted(going)}).groupBy("source").agg(F.sum(r).alias("r"), F.sum(r * x).alias("x"), F.sum(r * x * x).alias("xx")).collect()
+        return {q["source"]: tuple(q[k] / sizes[q["source"]][1] for k in ("r", "x", "xx")) for q in rows}
 
     def dual(s: str, m: tuple[float, ...], a: float, b: float) -> float:
         return m[0] - multiple[s] * (a + b)
@@ -71,11 +75,11 @@ def rates(counted: DataFrame, targets: dict[str, tuple[float, int]], total: floa
     now = sums(a, b) if wanted else {}
     for _ in range(STEPS):
         step = {}
-        for s in sorted(open_):
+        for s in sorted(going):
             r, x, xx = now[s]
             g0, g1, det = r - multiple[s], x - multiple[s], r * xx - x * x
             if max(abs(g0), abs(g1)) <= tolerance * multiple[s]:
-                open_.discard(s)
+                going.discard(s)
             elif det > 1e-12 * r * xx:
                 step[s] = ((xx * g0 - x * g1) / det, (r * g1 - x * g0) / det)
             else:  # all documents of one length: one constraint is left
@@ -94,20 +98,20 @@ def rates(counted: DataFrame, targets: dict[str, tuple[float, int]], total: floa
             for s in worse:
                 width[s] /= 2
         a, b, now = a2, b2, then
-    cap = _by_source({s: float(wanted[s][1]) for s in wanted}) if wanted else F.lit(0.0)
-    rate = F.least(_rate(a, b, mean), cap) if wanted else F.lit(0.0)
-    return mine.select("doc_id", "source", "tokens", cap.cast("int").alias("cap"), rate.alias("rate")), goal
+    rated = _with(counted, f"{_AB}, cap int", {s: (a[s], b[s], mean[s], wanted[s][1]) for s in wanted})
+    return rated.select("doc_id", "source", "tokens", "cap", F.least(_rate(), F.col("cap").cast("double")).alias("rate")), goal
 
 
 def copies(rated: DataFrame, goal: dict[str, float]) -> DataFrame:
     """(doc_id, source, tokens, copies) with the rates rounded to copies, documents without any left out."""
     whole = F.least(F.floor(F.col("rate") + 1e-9), F.col("cap")).cast("int")
     part = F.when(whole < F.col("cap"), F.greatest(F.col("rate") - whole, F.lit(0.0))).otherwise(0.0)
-    # a uniform number in (0, 1) from the document's key
+    # a uniform number in (0, 1) from the document's key; a larger fraction comes earlier
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = rated.withColumns({"whole": whole, "part": part}).withColumn("place", F.when(F.col("part") > 1e-9, 1 - F.exp(-draw / F.col("part"))).otherwise(F.lit(2.0)))
+    place = F.when(F.col("part") > 1e-9, 1 - F.exp(-draw / F.col("part"))).otherwise(F.lit(2.0))
+    keyed = rated.withColumns({"whole": whole, "part": part}).withColumn("place", place).select("doc_id", "source", "tokens", "whole", "place")
     if not goal:
-        return keyed.select("doc_id", "source", "tokens", F.lit(0).alias("copies")).limit(0)
+        return keyed.select("doc_id", "source", "tokens", F.col("whole").alias("copies")).limit(0)
     had = {r["source"]: r["t"] for r in keyed.groupBy("source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("t")).collect()}
     rest = {s: goal[s] - had.get(s, 0) for s in goal}
     done: dict[str, float] = dict.fromkeys(goal, 0.0)  # everything placed before this is taken, but for the gaps
@@ -118,9 +122,8 @@ def copies(rated: DataFrame, goal: dict[str, float]) -> DataFrame:
             break
         low, high = {s: done[s] for s in going}, dict.fromkeys(going, 1.0)
         for _ in range(ROUNDS):
-            lo, hi = _by_source(low), _by_source(high)
-            inside = keyed.filter(F.col("source").isin(*going)).filter((F.col("place") >= lo) & (F.col("place") < hi))
-            bin_ = F.least(F.floor((F.col("place") - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
+            inside = _with(keyed, "__lo double, __hi double", {s: (low[s], high[s]) for s in going}).filter("place >= __lo and place < __hi")
+            bin_ = F.least(F.floor((F.col("place") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BINS), F.lit(BINS - 1)).cast("int")
             hist: dict[str, dict[int, int]] = {s: {} for s in going}
             for r in inside.groupBy("source", bin_.alias("bin")).agg(F.sum("tokens").alias("t")).collect():
                 hist[r["source"]][r["bin"]] = r["t"]
@@ -134,12 +137,10 @@ def copies(rated: DataFrame, goal: dict[str, float]) -> DataFrame:
             if low[s] < high[s]:  # what is left here is larger than the rest; smaller documents may follow
                 gaps[s].append((low[s], high[s]))
             done[s] = high[s]
-    place = F.col("place")
-    taken = place < _by_source(done)
-    for k in range(max(map(len, gaps.values()))):
-        kth = {s: g[k] if len(g) > k else (2.0, 2.0) for s, g in gaps.items()}
-        taken = taken & ~((place >= _by_source({s: g[0] for s, g in kth.items()})) & (place < _by_source({s: g[1] for s, g in kth.items()})))
-    return keyed.withColumn("copies", F.col("whole") + taken.cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+    ends = _with(keyed, "__done double, __gaps array<struct<lo: double, hi: double>>", {s: (done[s], gaps[s]) for s in goal})
+    passed = F.exists("__gaps", lambda g: (F.col("place") >= g["lo"]) & (F.col("place") < g["hi"]))
+    taken = (F.col("place") < F.col("__done")) & ~passed
+    return ends.withColumn("copies", F.col("whole") + taken.cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
 def mixture(counted: DataFrame, mix: DataFrame, total: float | None = None) -> tuple[DataFrame, dict[str, tuple[float, int]]]:
