@@ -34,6 +34,8 @@ WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
 WIDE_AS = "".join(map(chr, range(0x21, 0x7F)))
 #: Characters without width or effect on what is seen.
 INVISIBLE = "[\\p{Cf}\\u034f\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180d\\ufe00-\\ufe0f]+"
+#: The same in the notation of RE2.
+INVISIBLE_RE2 = r"[\p{Cf}\x{034f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180d}\x{fe00}-\x{fe0f}]+"
 UNICODE = "UNICODE"
 
 

@@ -74,6 +74,23 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return _classes(_texts(spark, folder))
 
 
+def _p5_sql(found: bool) -> str:
+    before, after = lookalike._pairs()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    form = lambda c: f"nfc_normalize(translate(regexp_replace({c}, '{lookalike.INVISIBLE_RE2}', '', 'g'), {quoted(before)}, {quoted(after)}))"
+    texts = f"""
+    WITH n AS (SELECT DISTINCT nconst AS k, primaryname AS t, {form("primaryname")} AS f FROM name_basics WHERE primaryname IS NOT NULL),
+    b AS (SELECT DISTINCT tconst AS k, primarytitle AS t, {form("primarytitle")} AS f FROM title_basics WHERE primarytitle IS NOT NULL),
+    a AS (SELECT DISTINCT titleid AS p, titleid || '#' || CAST(ordering AS VARCHAR) AS k, title AS t, {form("title")} AS f FROM title_akas WHERE title IS NOT NULL)"""
+    if not found:
+        plain = f"translate(regexp_replace(t, '{lookalike.INVISIBLE_RE2}', '', 'g'), {quoted(before)}, {quoted(after)})"
+        return f"""{texts}, u AS (SELECT t, f FROM n UNION SELECT t, f FROM b UNION SELECT t, f FROM a)
+    SELECT t AS text, first_value(t) OVER (PARTITION BY f ORDER BY t <> {plain}, length(t), t) AS canonical, count(*) OVER (PARTITION BY f) AS n_forms FROM u"""
+    pair = lambda src, v: f"SELECT DISTINCT '{src}' AS src, x.k AS key_a, y.k AS key_b FROM {v} x JOIN {v} y ON x.f = y.f AND x.k < y.k AND x.t <> y.t"
+    return f"""{texts} {pair("name", "n")} UNION ALL {pair("title", "b")}
+    UNION ALL SELECT DISTINCT 'aka' AS src, b.k AS key_a, a.k AS key_b FROM a JOIN b ON a.p = b.k AND a.f = b.f AND a.t <> b.t"""
+
+
 # ---------------------------------------------------------------- problem 7
 
 BEST = 5
@@ -148,6 +165,8 @@ _LIFT = "shared::DOUBLE * baskets / (n_a::DOUBLE * n_b)"
 SQL = {
     "p2_found": _p2_sql("item_kind, item_a, item_b"),
     "p2_pairs": _p2_sql(f"item_kind, item_a, item_b, shared, n_a, n_b, baskets, {_LIFT} AS lift, log2({_LIFT}) AS pmi"),
+    "p5_found": _p5_sql(True),
+    "p5_forms": _p5_sql(False),
     "p7_found": _P7.format("parenttconst, rnk, tconst"),
     "p7_best": _P7.format("parenttconst, rnk, tconst, averagerating, numvotes"),
 }
