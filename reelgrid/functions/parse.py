@@ -9,11 +9,12 @@ few query texts only, never to a catalogue.
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Marks of a kind, in parentheses, and the kinds they stand for.
 KIND_MARKS = {
@@ -52,7 +53,8 @@ class Title:
     aired: str | None = None
 
 
-SCHEMA = "title string, kind string, year int, series_years string, imdb_index string, season int, episode int, series_title string, series_kind string, series_year int, aired string"
+_NUMBERS = ("year", "season", "episode", "series_year")
+SCHEMA = T.StructType([T.StructField(f.name, T.IntegerType() if f.name in _NUMBERS else T.StringType()) for f in fields(Title)])
 
 
 def split_series(text: str) -> tuple[str, str]:
@@ -137,8 +139,8 @@ def _analyzed(texts: pd.Series) -> pd.DataFrame:
             rows.append(asdict(analyze(text)) if text else {})
         except ValueError:
             rows.append({})
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")], index=texts.index, dtype=object)
-    for name in ("year", "season", "episode", "series_year"):
+    frame = pd.DataFrame(rows, columns=SCHEMA.names, index=texts.index, dtype=object)
+    for name in _NUMBERS:
         frame[name] = frame[name].astype("Int32")
     return frame
 

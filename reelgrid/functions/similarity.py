@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The least score of a hit, and the least ratio of lengths that is compared at all.
 LEAST_SCORE, LEAST_LENGTHS = 0.6, 0.7
@@ -43,7 +44,7 @@ def _ratio(query: pd.Series, candidate: pd.Series) -> pd.Series:
 
 
 # not deterministic for the planner: a filter on the score would otherwise compute it twice
-_udf = F.pandas_udf(_ratio, "double").asNondeterministic()
+_udf = F.pandas_udf(_ratio, T.DoubleType()).asNondeterministic()
 
 
 def ratio(query: Column, candidate: Column) -> Column:
