@@ -58,11 +58,15 @@ def strip_article(title: Column, language: str | None = None) -> Column:
 
 
 def phonetic(text: Column) -> Column:
-    upper = F.upper(F.regexp_replace(text, "^[^a-zA-Z]*", ""))
-    digits = F.translate(F.regexp_replace(F.substr(upper, F.lit(2)), f"[^{CONSONANTS}]", ""), CONSONANTS, DIGITS)
-    for d in sorted(set(DIGITS)):
-        digits = F.regexp_replace(digits, f"{d}+", d)
-    return F.when(upper != "", F.concat(F.substring(upper, 1, 1), F.substring(digits, 1, KEY_LENGTH - 1)))
+    from reelgrid.functions.text import let
+
+    def coded(upper: Column) -> Column:
+        digits = F.translate(F.regexp_replace(F.substr(upper, F.lit(2)), f"[^{CONSONANTS}]", ""), CONSONANTS, DIGITS)
+        for d in sorted(set(DIGITS)):
+            digits = F.regexp_replace(digits, f"{d}+", d)
+        return F.when(upper != "", F.concat(F.substring(upper, 1, 1), F.substring(digits, 1, KEY_LENGTH - 1)))
+
+    return let(F.upper(F.regexp_replace(text, "^[^a-zA-Z]*", "")), coded)
 
 
 def title_key(title: Column) -> Column:
@@ -70,13 +74,23 @@ def title_key(title: Column) -> Column:
     return phonetic(strip_article(title))
 
 
+def name_keys_struct(name: Column) -> Column:
+    """struct(given, canonical, family) of the phonetic keys of a name as given, of its canonical form and of its family name.
+
+    A repeated key is null, and all are for an empty name.
+    """
+    from reelgrid.functions.text import canonical_name, let
+
+    def distinct(k: Column) -> Column:
+        second = F.when(~k["b"].eqNullSafe(k["a"]), k["b"])
+        third = F.when(~k["c"].eqNullSafe(k["a"]) & ~k["c"].eqNullSafe(k["b"]), k["c"])
+        return F.struct(k["a"].alias("given"), second.alias("canonical"), third.alias("family"))
+
+    of_turned = lambda t: F.struct(phonetic(name).alias("a"), phonetic(t).alias("b"), phonetic(F.substring_index(t, ", ", 1)).alias("c"))
+    return F.when(F.length(name) > 0, let(let(canonical_name(name), of_turned), distinct))
+
+
 def name_keys(name: Column) -> tuple[Column, Column, Column]:
-    """Phonetic keys of a name as given, of its canonical form and of its family name; a repeated key is null."""
-    from reelgrid.functions.text import canonical_name
-
-    turned = canonical_name(name)
-    given, canonical, family = phonetic(name), phonetic(turned), phonetic(F.substring_index(turned, ", ", 1))
-    second = F.when(~canonical.eqNullSafe(given), canonical)
-    third = F.when(~family.eqNullSafe(given) & ~family.eqNullSafe(second), family)
-    some = F.length(name) > 0
-    return F.when(some, given), F.when(some, second), F.when(some, third)
+    """The three keys as columns; where all are needed, one struct computed first is cheaper."""
+    keys = name_keys_struct(name)
+    return keys["given"], keys["canonical"], keys["family"]

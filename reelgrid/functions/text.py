@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,20 +16,34 @@ ROMAN = "[IVXLCDM]+"
 # ---------------------------------------------------------------- names
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: a one-element array binds it, which keeps nested expressions small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def canonical_name(name: Column) -> Column:
     """``Given Family`` as ``Family, Given``.
 
     A name of one word, or that holds ``, `` already, stays. From three words on, a particle at the first, last but one or
     (of four words or more) last but two place opens a family name of two words, which a following ``Jr`` joins.
     """
-    words, n = F.split(name, " ", -1), F.size(F.split(name, " ", -1))
-    particle = lambda at: F.lower(F.get(words, at)).isin(*PARTICLES)
-    at = F.when(particle(F.lit(0)), F.lit(0)).when(particle(n - 2), n - 2).when((n > 3) & particle(n - 3), n - 3)
-    junior = F.coalesce(F.lower(F.get(words, at + 2)).startswith("jr"), F.lit(False)).cast("int")
-    family = F.array_join(F.slice(words, at + 1, 2 + junior), " ")
-    rest = F.array_join(F.concat(F.slice(words, F.lit(1), at), F.slice(words, at + 3 + junior, n)), " ")
-    plain = F.concat(F.get(words, n - 1), F.lit(", "), F.array_join(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), " "))
-    return F.when(name.contains(", ") | (n < 2), name).when((n > 2) & at.isNotNull(), F.concat(family, F.lit(", "), rest)).otherwise(plain)
+
+    def of_words(words: Column) -> Column:
+        n = F.size(words)
+        particle = lambda at: F.lower(F.get(words, at)).isin(*PARTICLES)
+        place = F.when(n < 3, F.lit(None).cast("int")).when(particle(F.lit(0)), F.lit(0)).when(particle(n - 2), n - 2).when((n > 3) & particle(n - 3), n - 3)
+        return let(place, lambda at: F.when(at.isNotNull(), around(words, at)).otherwise(last_first(words)))
+
+    def around(words: Column, at: Column) -> Column:
+        junior = F.coalesce(F.lower(F.get(words, at + 2)).startswith("jr"), F.lit(False)).cast("int")
+        family = lambda k: F.array_join(F.slice(words, at + 1, k + 2), " ")
+        rest = lambda k: F.array_join(F.concat(F.slice(words, F.lit(1), at), F.slice(words, at + k + 3, F.size(words))), " ")
+        return let(junior, lambda k: F.concat(family(k), F.lit(", "), rest(k)))
+
+    def last_first(words: Column) -> Column:
+        return F.concat(F.element_at(words, -1), F.lit(", "), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "))
+
+    return F.when(name.contains(", ") | ~name.contains(" "), name).otherwise(let(F.split(name, " ", -1), of_words))
 
 
 def normalize_name(name: Column) -> Column:
@@ -60,11 +76,9 @@ def strip_suffix(name: Column) -> Column:
 def split_name(name: Column) -> Column:
     """struct(first, last) of a name; a name of one word is a family name."""
     parts = F.split(name, ", ", -1)
-    bare = strip_suffix(name)
-    turned = canonical_name(bare)
     comma = F.struct(F.get(parts, F.lit(1)).alias("first"), strip_suffix(parts[0]).alias("last"))
-    other = F.struct(F.when(turned.contains(", "), F.regexp_replace(turned, "(?s)^.*?, ", "")).otherwise("").alias("first"), F.substring_index(turned, ", ", 1).alias("last"))
-    return F.when(name.contains(", "), comma).otherwise(other)
+    other = lambda turned: F.struct(F.when(turned.contains(", "), F.regexp_replace(turned, "(?s)^.*?, ", "")).otherwise("").alias("first"), F.substring_index(turned, ", ", 1).alias("last"))
+    return F.when(name.contains(", "), comma).otherwise(let(canonical_name(strip_suffix(name)), other))
 
 
 # ---------------------------------------------------------------- titles

@@ -37,8 +37,8 @@ def with_title_key(df: DataFrame, title: str) -> DataFrame:
 def with_name_keys(df: DataFrame, name: str = "primaryname") -> DataFrame:
     if "ns_soundex" in df.columns:
         return df
-    given, canonical, family = keys.name_keys(F.col(name))
-    return df.withColumns({"ns_soundex": given, "sn_soundex": canonical, "s_soundex": family})
+    coded = df.withColumn("__keys", keys.name_keys_struct(F.col(name)))
+    return coded.withColumns({"ns_soundex": F.col("__keys.given"), "sn_soundex": F.col("__keys.canonical"), "s_soundex": F.col("__keys.family")}).drop("__keys")
 
 
 def title_queries(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
@@ -75,13 +75,6 @@ def candidates(queries: DataFrame, rows: DataFrame, title: str, key: str) -> Dat
     return keyed.unionByName(few)
 
 
-def _text_score(query: Column, text: Column, query_2: Column, text_2: Column) -> Column:
-    """Larger of two ratios, the first with its bonus; pairs too different in length count as nothing."""
-    first = F.when(close_in_length(query, text), ratio(F.lower(query), F.lower(text))).otherwise(0.0) + 0.1
-    second = F.when(close_in_length(query_2, text_2) | close_in_length(query, text_2), ratio(F.lower(query_2), F.lower(text_2))).otherwise(0.0)
-    return F.greatest(first, second)
-
-
 def search_titles(queries: DataFrame, titles: DataFrame, akas: DataFrame | None = None, results: int = DEFAULT_RESULTS, only: Column | None = None, least: float = LEAST_SCORE) -> DataFrame:
     """(query_id, rank, tconst, title, kind, year, score): the best ``results`` titles of every query.
 
@@ -100,11 +93,14 @@ def search_titles(queries: DataFrame, titles: DataFrame, akas: DataFrame | None
         joined = found.join(years.select("tconst", F.col("startyear").alias("title_year")), "tconst", "left" if only is None else "inner")
         more = joined.select("query_id", "query", "query_year", "tconst", F.col("aka").alias("title"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("year"), "title_year", F.lit(1).alias("source"), F.col("ordering").cast("int").alias("ordering"))
         hits = hits.unionByName(more)
-    query, title = F.col("query"), F.col("title")
-    bare_q, bare_t = keys.strip_article(query), keys.strip_article(title)
-    near = hits.filter(close_in_length(query, title) | close_in_length(query, bare_t) | close_in_length(bare_q, bare_t))
-    score = _text_score(query, title, bare_q, bare_t) - F.when(F.col("kind") == "episode", 0.2).otherwise(0.0)
-    scored = near.withColumn("score", score).filter(F.col("score") >= least)
+    stripped = hits.withColumns({"bare_q": keys.strip_article(F.col("query")), "bare_t": keys.strip_article(F.col("title"))})
+    query, title, bare_q, bare_t = (F.col(c) for c in ("query", "title", "bare_q", "bare_t"))
+    near = stripped.filter(close_in_length(query, title) | close_in_length(bare_q, bare_t))
+    raw = near.withColumn("direct", ratio(F.lower(query), F.lower(title))).withColumn("other", ratio(F.lower(bare_q), F.lower(bare_t)))
+    first = F.when(close_in_length(query, title), F.col("direct")).otherwise(0.0) + 0.1
+    second = F.when(close_in_length(bare_q, bare_t), F.col("other")).otherwise(0.0)
+    score = F.greatest(first, second) - F.when(F.col("kind") == "episode", 0.2).otherwise(0.0)
+    scored = raw.withColumn("score", score).filter(F.col("score") >= least)
     best = scored.withColumn("__nr", F.row_number().over(W.partitionBy("query_id", "tconst").orderBy(F.desc("score"), "source", "ordering", "title"))).filter("__nr = 1")
     met = F.col("title_year").eqNullSafe(F.col("query_year"))
     wished = best.withColumn("__met", F.max(F.col("query_year").isNotNull() & met).over(W.partitionBy("query_id"))).filter(~F.col("__met") | met)
@@ -126,12 +122,15 @@ def search_people(queries: DataFrame, people: DataFrame, results: int = DEFAULT_
     asked = _all_keys(with_name_keys(queries, "query"), ["query_id", "query"])
     known = _all_keys(with_name_keys(people.select("nconst", "primaryname", *[c for c in people.columns if c.endswith("_soundex")])), ["nconst", "primaryname"])
     hits = asked.join(known, "key").select("query_id", "query", "nconst", F.col("primaryname").alias("name")).distinct()
-    query, name = F.col("query"), F.col("name")
-    turned_q, turned_n = F.replace(canonical_name(query), F.lit(","), F.lit("")), F.replace(canonical_name(name), F.lit(","), F.lit(""))
+    bare = lambda c: F.replace(canonical_name(F.col(c)), F.lit(","), F.lit(""))
+    turned = hits.withColumns({"turned_q": bare("query"), "turned_n": bare("name")})
+    query, name, turned_q, turned_n = (F.col(c) for c in ("query", "name", "turned_q", "turned_n"))
     same = (F.lower(F.trim(query)) == F.lower(name)) | (F.lower(F.trim(turned_q)) == F.lower(name))
-    near = hits.withColumn("__same", same).filter(F.col("__same") | close_in_length(query, name) | close_in_length(query, turned_n))
-    raw = _text_score(query, name, turned_q, turned_n)
-    scored = near.withColumn("score", F.when(F.col("__same"), F.greatest(raw, F.lit(2.0))).otherwise(raw)).filter(F.col("score") >= least)
+    near = turned.withColumn("same", same).filter(F.col("same") | close_in_length(query, name) | close_in_length(query, turned_n))
+    raw = near.withColumn("direct", ratio(F.lower(query), F.lower(name))).withColumn("other", ratio(F.lower(turned_q), F.lower(turned_n)))
+    first = F.when(close_in_length(query, name), F.col("direct")).otherwise(0.0) + 0.1
+    second = F.when(close_in_length(query, turned_n), F.col("other")).otherwise(0.0)
+    scored = raw.withColumn("score", F.greatest(first, second, F.when(F.col("same"), 2.0))).filter(F.col("score") >= least)
     best = scored.groupBy("query_id", "nconst").agg(F.max(F.struct("score", "name")).alias("s")).select("query_id", "nconst", "s.name", "s.score")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("nconst"))
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= results).select("query_id", "rank", "nconst", "name", "score")
