@@ -70,14 +70,13 @@ def same_looking(records: DataFrame, varied: DataFrame) -> DataFrame:
     """(key_a, key_b) of (rec_key, text) records whose texts differ but look the same, each pair once, key_a < key_b.
 
     Pairs are made between different texts of a class first and only then spread to the records, so copies of one text
-    never meet each other.
+    never meet each other. ``varied`` is best a written table, as it is read several times.
     """
-    mine = records.filter("rec_key is not null").join(varied, "text").distinct()
-    here = mine.select("text", "canonical").distinct()
-    met = here.select(F.col("text").alias("text_a"), "canonical").join(here.select(F.col("text").alias("text_b"), "canonical"), "canonical").filter("text_a < text_b").select("text_a", "text_b")
+    met = varied.select(F.col("text").alias("text_a"), "canonical").join(varied.select(F.col("text").alias("text_b"), "canonical"), "canonical").filter("text_a < text_b").select("text_a", "text_b")
+    mine = records.filter("rec_key is not null")
     a = mine.select(F.col("text").alias("text_a"), F.col("rec_key").alias("a"))
     b = mine.select(F.col("text").alias("text_b"), F.col("rec_key").alias("b"))
-    both = met.join(a, "text_a").join(b, "text_b").filter("a <> b")
+    both = a.join(met, "text_a").join(b, "text_b").filter("a <> b")
     return both.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
 
 

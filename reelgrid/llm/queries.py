@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgrid import session
 from reelgrid.llm import bpe, cooccur, lookalike, mix, residue, topn
 from reelgrid.operators.packed import split_packed
 from reelgrid.session import table
@@ -63,7 +64,7 @@ def _classes(texts: dict[str, DataFrame]) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     texts = _texts(spark, folder)
-    varied = lookalike.variants(_classes(texts))
+    varied = session.cut(lookalike.variants(_classes(texts)), "variants")
     found = [lookalike.same_looking(texts[s], varied).select(F.lit(s).alias("src"), "key_a", "key_b") for s in ("name", "title")]
     found.append(lookalike.same_looking_children(texts["title"], texts["aka"], varied).select(F.lit("aka").alias("src"), "key_a", "key_b"))
     return found[0].unionAll(found[1]).unionAll(found[2])
