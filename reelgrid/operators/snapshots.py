@@ -34,7 +34,8 @@ def neighbours(snapshots: DataFrame) -> DataFrame:
     numbers = sorted(r[0] for r in snapshots.select("snapshot_no").filter("snapshot_no is not null").distinct().limit(MOST_DELIVERIES + 1).collect())
     if len(numbers) > MOST_DELIVERIES:
         raise ValueError(f"more than {MOST_DELIVERIES} deliveries")
-    rows = [(n, a, b) for n, a, b in zip(numbers, [None, *numbers[:-1]], [*numbers[1:], None], strict=True)]
+    ends = [None, *numbers, None]
+    rows = [(n, ends[k], ends[k + 2]) for k, n in enumerate(numbers)]
     return snapshots.sparkSession.createDataFrame(rows, "snapshot_no int, before int, after int")
 
 
