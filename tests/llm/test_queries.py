@@ -1,0 +1,16 @@
+"""Every query of the subpackage with SQL gives the same rows over the smallest data; the others run."""
+
+import pytest
+from conftest import DATA, same_as_sql
+
+from reelgrid.llm.queries import QUERIES, SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_as_sql(spark, name):
+    same_as_sql(spark, QUERIES[name], SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, DATA).count() > 0
