@@ -24,28 +24,18 @@ from pyspark.sql import functions as F
 
 _NAME = r"[\p{L}_][\p{L}\p{N}_ .\[\]-]{0,40}"
 _CAPS = r"\p{Lu}[\p{Lu}\p{N}_.\[\]]{1,40}"
-#: Unfilled template fields, one pattern per notation.
-PLACEHOLDERS = (
-    r"\{\{[^{}\n]{1,80}\}\}",
-    r"\{%[^%\n]{1,80}%\}",
-    r"[#$]\{" + _NAME + r"\}",
-    r"\$" + _CAPS + r"\$",
-    r"%\(" + _NAME + r"\)[sd]",
-    r"(?<![\p{N}\p{L}])%" + _CAPS + r"%",
-    r"<<" + _NAME + r">>",
-    r"&lt;" + _NAME + r"&gt;",
-    r"__" + _CAPS + r"__",
-    r"@@" + _CAPS + r"@@",
-    r"\[\[" + _NAME + r"\]\]",
-    r"\[" + _NAME + r"(?: goes)? here\]",
-    r"(?i:[\[(](?:insert|enter|your|add) " + _NAME + r"[\])])",
-    r"\[\p{Lu}{2,}(?:_\p{Lu}+)*(?:\[\p{N}+\])?\]",
-    r"\{\p{N}{1,2}\}",
-    r"\{[\p{L}_][\p{L}\p{N}_.\[\] ]{0,40}\}",
-    r"<if " + _NAME + r">",
-    r"<%[=-]?[^%<>\n]{1,80}%>",
-    r"(?i:<(?:insert|enter|your|add) " + _NAME + r">)",
-)
+#: Unfilled template fields: patterns by a text that every match of them holds, which is looked for first, as bytes.
+PLACEHOLDERS = {
+    "{": (r"\{\{[^{}\n]{1,80}\}\}|\{%[^%\n]{1,80}%\}|[#$]\{" + _NAME + r"\}|\{\p{N}{1,2}\}|\{[\p{L}_][\p{L}\p{N}_.\[\] ]{0,40}\}",),
+    "$": (r"\$" + _CAPS + r"\$",),
+    "%": (r"%\(" + _NAME + r"\)[sd]", r"(?<![\p{N}\p{L}])%" + _CAPS + r"%"),
+    "<": (r"<<" + _NAME + r">>|<if " + _NAME + r">|<%[=-]?[^%<>\n]{1,80}%>", r"(?i:<(?:insert|enter|your|add) " + _NAME + r">)"),
+    "&lt;": (r"&lt;" + _NAME + r"&gt;",),
+    "__": (r"__" + _CAPS + r"__",),
+    "@@": (r"@@" + _CAPS + r"@@",),
+    "[": (r"\[\[" + _NAME + r"\]\]|\[" + _NAME + r"(?: goes)? here\]|\[\p{Lu}{2,}(?:_\p{Lu}+)*(?:\[\p{N}+\])?\]", r"(?i:\[(?:insert|enter|your|add) " + _NAME + r"\])"),
+    "(": (r"(?i:\((?:insert|enter|your|add) " + _NAME + r"\))",),
+}
 
 #: Words of the usual dummy Latin.
 LATIN = (
@@ -55,10 +45,20 @@ LATIN = (
     "vestibulum vivamus donec curabitur praesent aliquam cras morbi nunc"
 )
 _KEYS = "qwerty|qwert|qwer|wert|uiop|asdfgh|asdfg|asdf|sdf|dfgh|fghj|ghjk|hjkl|jkl|zxcvbn|zxcv|xcvb|cvbn|vbnm|df"
-_LATIN_WORD = "(?:" + "|".join(LATIN.split()) + ")"
-#: Filler: a run of dummy Latin, then whole lines of letters, keyboard runs, a repeated phrase, and drafting notes.
+
+
+def one_of(words: list[str]) -> str:
+    """Pattern of any of the words, by common beginnings, so that a matcher tries few branches at a place."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        tails.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(c + (one_of([t for t in rest if t]) + ("?" if "" in rest else "") if any(rest) else "") for c, rest in tails.items()) + ")"
+
+
+_LATIN_WORD = one_of(LATIN.split())
+#: Filler: a run of dummy Latin (seven words after a divider, so eight at the start of a text), then whole lines of letters, keyboard runs, a repeated phrase, and drafting notes.
 FILLER = (
-    r"(?iu)\b" + _LATIN_WORD + r"(?:[\s.,;]+" + _LATIN_WORD + r"){7}\b",
+    r"[\s.,;](?i:" + _LATIN_WORD + r"(?:[\s.,;]+" + _LATIN_WORD + r"){6})(?![a-zA-Z])",
     r"(?m)^[ \t]*[xX]{1,12}(?:[ \t]+[xX]{1,12}){2,}+[ \t.]*$",
     r"(?im)^[ \t]*(?:(?:" + _KEYS + r")[ \t.;]*){2,}+$",
     r"(?im)^[ \t]*(\p{L}+ \p{L}+)(?:[ ,.]+\1){2,}+[ .,]*(?:\p{L}+[ .]*)?$",
@@ -104,6 +104,14 @@ NOTICE = "(?iu)" + "|".join(f"(?:{p})" for p in NOTICES)
 MOST_LINES, MOST_CHARS = 8, 600
 
 
+def unfilled(text: Column) -> Column:
+    """Whether a text has an unfilled template field."""
+    found = F.lit(False)
+    for part, patterns in PLACEHOLDERS.items():
+        found = found | (text.contains(part) & matches(text, patterns))
+    return found
+
+
 def matches(text: Column, patterns: tuple[str, ...]) -> Column:
     found = text.rlike(patterns[0])
     for p in patterns[1:]:
@@ -117,7 +125,7 @@ def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hos
     ``docs`` has doc_id, text, source and tconst; ``titles`` (tconst, title) gives the titles that documents belong to.
     """
     real = docs.select("doc_id", "text", "source", "tconst").filter(F.col("text").rlike(r"\S"))
-    marked = real.withColumns({"placeholder": matches(F.col("text"), PLACEHOLDERS), "filler": matches(F.col("text"), FILLER)})
+    marked = real.withColumns({"placeholder": unfilled(F.col("text")), "filler": matches(F.col("text"), FILLER)})
     lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
     short = (F.length("text") <= MOST_CHARS + 700) & (F.size(F.split("text", "\n")) <= MOST_LINES + 8)
     judged = marked.withColumn("lines", F.when(short, lines)).withColumns({
