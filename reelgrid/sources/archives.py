@@ -33,7 +33,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of a file, line ends removed; the header is line 1."""
     raw = spark.read.option("lineSep", "\n").text(path)
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return raw.select(number.alias("line_no"), F.regexp_replace("value", "[\r\n]+$", "").alias("value"))
+    return raw.select(number.alias("line_no"), F.rtrim("value", F.lit("\r")).alias("value"))
 
 
 def header(spark: SparkSession, path: str) -> tuple[str, ...]:

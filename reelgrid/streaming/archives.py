@@ -12,7 +12,7 @@ from reelgrid.sources.archives import problem, typed
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the files that arrive in a folder."""
-    return spark.readStream.option("lineSep", "\n").text(folder).select(F.regexp_replace("value", "[\r\n]+$", "").alias("value"))
+    return spark.readStream.option("lineSep", "\n").text(folder).select(F.rtrim("value", F.lit("\r")).alias("value"))
 
 
 def stream_relation(spark: SparkSession, folder: str, table: str) -> tuple[DataFrame, DataFrame]:
