@@ -57,16 +57,18 @@ def one_of(words: list[str]) -> str:
 
 _LATIN_WORD = one_of(LATIN.split())
 #: Filler: a run of dummy Latin (seven words after a divider, so eight at the start of a text), then whole lines of letters, keyboard runs, a repeated phrase, and drafting notes.
-FILLER = (
-    r"[\s.,;](?i:" + _LATIN_WORD + r"(?:[\s.,;]+" + _LATIN_WORD + r"){6})(?![a-zA-Z])",
-    r"(?m)^[ \t]*[xX]{1,12}(?:[ \t]+[xX]{1,12}){2,}+[ \t.]*$",
-    r"(?im)^[ \t]*(?:(?:" + _KEYS + r")[ \t.;]*){2,}+$",
-    r"(?im)^[ \t]*(\p{L}+ \p{L}+)(?:[ ,.]+\1){2,}+[ .,]*(?:\p{L}+[ .]*)?$",
-    r"(?im)^\W{0,4}(?:tbd|tba|todo|fixme|to be (?:written|added|done|filled in|continued here)|text follows|(?:content|text|review|synopsis) (?:is )?coming (?:here|soon)|empty (?:draft|page|section|entry)|(?:dummy|sample|placeholder|filler) (?:text|copy|content)|your text here)\W{0,4}$",
-    r"(?im)^\W{0,4}(?:todo|fixme|tbd)\s*:.{0,120}$",
-    r"(?im)^[ \t]*(?:this is (?:demo|dummy|sample|placeholder) (?:content|text)\b.{0,120}|body copy goes .{0,120}|insert your .{0,120} here\.?|some words to show how .{0,160} (?:is|are) written\.?|replace this (?:text|paragraph)\b.{0,120})$",
-    r"(?imu)^[ \t]*(?:dies ist ein (?:blindtext|platzhalter(?:text)?|mustertext)\b|este es un texto de (?:relleno|ejemplo|muestra)\b|questo è un testo (?:segnaposto|di prova|di esempio)\b|ceci est un (?:faux-texte|texte factice|texte de remplissage)\b).{0,200}$",
+_LATIN_RUN = r"[\s.,;](?i:" + _LATIN_WORD + r"(?:[\s.,;]+" + _LATIN_WORD + r"){6})(?![a-zA-Z])"
+_LINES = (
+    r"[x]{1,12}(?:[ \t]+[x]{1,12}){2,}+[ \t.]*",
+    r"(?:(?:" + _KEYS + r")[ \t.;]*){2,}+",
+    r"(?<phrase>\p{L}+ \p{L}+)(?:[ ,.]+\k<phrase>){2,}+[ .,]*(?:\p{L}+[ .]*)?",
+    r"\W{0,4}(?:tbd|tba|todo|fixme|to be (?:written|added|done|filled in|continued here)|text follows|(?:content|text|review|synopsis) (?:is )?coming (?:here|soon)|empty (?:draft|page|section|entry)|(?:dummy|sample|placeholder|filler) (?:text|copy|content)|your text here)\W{0,4}",
+    r"\W{0,4}(?:todo|fixme|tbd)\s*:.{0,120}",
+    r"(?:this is (?:demo|dummy|sample|placeholder) (?:content|text)\b.{0,120}|body copy goes .{0,120}|insert your .{0,120} here\.?|some words to show how .{0,160} (?:is|are) written\.?|replace this (?:text|paragraph)\b.{0,120})",
+    r"(?:dies ist ein (?:blindtext|platzhalter(?:text)?|mustertext)\b|este es un texto de (?:relleno|ejemplo|muestra)\b|questo è un testo (?:segnaposto|di prova|di esempio)\b|ceci est un (?:faux-texte|texte factice|texte de remplissage)\b).{0,200}",
 )
+#: Two patterns, as each one has to decode the text.
+FILLER = (_LATIN_RUN, r"(?imu)^[ \t]*(?:" + "|".join(_LINES) + ")$")
 
 #: Lines of site furniture: heading, breadcrumb, navigation, title bar, footer, request id, loading mark.
 FURNITURE = r"(?:<h\d>.{0,300}</h\d>|[^>|\n]{1,40}(?: > [^>|\n]{1,40})* > .{1,300}|[^|\n]{1,30}(?: \| [^|\n]{1,30}){2,}|.{1,300} [–|-] [^–|\n]{0,30}\bcatalogue|© ?\d{4} .{1,60}|(?:©|\(c\)) .{1,60}|Back to (?:the )?(?:start|home|main)\b.{0,30}|(?:Ray|Reference|Request|Incident|Trace)(?: ?ID)?:? ?[0-9a-fA-F-]{5,40}|Loading(?:…|\.{3}))"
