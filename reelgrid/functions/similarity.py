@@ -17,9 +17,9 @@ LEAST_SCORE, LEAST_LENGTHS = 0.6, 0.7
 
 
 def close_in_length(a: Column, b: Column) -> Column:
-    """Whether the shorter text has at least LEAST_LENGTHS of the longer one's characters; false for two empty texts."""
+    """Whether the shorter text has at least LEAST_LENGTHS of the longer one's characters; false for null or two empty texts."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    return F.coalesce((long > 0) & (short.cast("double") / F.nullif(long, F.lit(0)) >= LEAST_LENGTHS), F.lit(False))
+    return F.coalesce(a.isNotNull() & b.isNotNull() & (long > 0) & (short.cast("double") / F.nullif(long, F.lit(0)) >= LEAST_LENGTHS), F.lit(False))
 
 
 def _ratio(query: pd.Series, candidate: pd.Series) -> pd.Series:

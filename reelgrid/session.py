@@ -6,6 +6,7 @@ setting is missing (local tests). Nothing here uses localCheckpoint or a machine
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -15,16 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package's code to the executors' Python, once per context; Spark serves the file from the driver."""
+    """Give this package's code to the executors' Python, once per context, as an archive in the shared folder."""
     sc = spark.sparkContext
     if getattr(sc, "_reelgrid_shipped", False):
         return
-    home = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="reelgrid-code-")) / "reelgrid-code.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    home, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for source in sorted(home.rglob("*.py")):
             z.write(source, source.relative_to(home.parent))
-    sc.addPyFile(str(archive))
+    where = sc._jvm.org.apache.hadoop.fs.Path(f"{_own_dir(spark)}/reelgrid-code-{uuid.uuid4().hex}.zip")
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(where.toString())
     sc._reelgrid_shipped = True
 
 
@@ -44,13 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/reelgrid/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove everything that this application has written in the shared folder."""
+    dropped(spark, _own_dir(spark))
+
+
 def written(df: DataFrame, label: str, **options: str) -> str:
     """Write ``df`` as parquet below the shared folder and return its path.
 
-    A written table survives the loss of executors and cuts the lineage. The folder belongs to the cluster's shared
-    space and is removed with it; ``dropped`` removes one earlier.
+    A written table survives the loss of executors and cuts the lineage. ``clean`` removes all tables of the
+    application, ``dropped`` a single one.
     """
-    path = f"{shared_dir(df.sparkSession)}/reelgrid/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return path
 
