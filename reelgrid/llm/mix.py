@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from reelgrid import session
 
 BINS, ROUNDS, STEPS = 1024, 4, 40
+#: Sources of a mix, which is configuration, at most; numbers of this many rows are broadcast and come to the driver.
+MOST_SOURCES = 10_000
 #: Passes that fill what a document too large for the rest has left open, and the part of its goal a source may miss.
 PASSES, CLOSE = 8, 2e-4
 
@@ -145,7 +147,10 @@ def copies(rated: DataFrame, goal: dict[str, float]) -> DataFrame:
 
 def mixture(counted: DataFrame, mix: DataFrame, total: float | None = None) -> tuple[DataFrame, dict[str, tuple[float, int]]]:
     """The selection (doc_id, source, tokens, copies) and the targets of a mix (source, target_share, max_repeats)."""
-    targets = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in mix.filter("source is not null").collect()}
+    listed = mix.filter("source is not null").limit(MOST_SOURCES + 1).collect()
+    if len(listed) > MOST_SOURCES:
+        raise ValueError(f"a mix lists {MOST_SOURCES} sources at most")
+    targets = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in listed}
     held = session.cut(counted.filter("source is not null and tokens > 0"), "tokens")
     rated, goal = rates(held, targets, total)
     return copies(rated, goal), targets
