@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelgrid import session
+
 
 def season_order(season: str = "seasonnumber") -> list[Column]:
     """Numbered seasons first, ascending; unknown ones last."""
@@ -39,10 +42,24 @@ def company_order(name: str = "name", country: str = "country", key: str = "comp
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], into: str = "pos") -> DataFrame:
-    """``df`` with the position of each row in its group's order."""
-    from pyspark.sql import Window as W
-
-    return df.withColumn(into, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    """``df`` with the position of each row in its group's order, from 1.
+
+    A group may hold most of the rows, so no task sorts a whole group: rows are range-partitioned by group and order, each
+    part of a group is numbered by itself, and the rows before a part are added. Only groups that lie in several
+    partitions need that, which are fewer than the partitions, so those numbers are broadcast. The order must be total;
+    rows that are equal in it are numbered in any order.
+    """
+    held = session.cut(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = held.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    group = W.partitionBy(*by)
+    spread = sizes.withColumn("__parts", F.count(F.lit(1)).over(group)).filter("__parts > 1")
+    before = spread.withColumn("__before", F.sum("__n").over(group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__in"), "__before")
+    inner = held.withColumn("__nr", F.row_number().over(W.partitionBy(*by, "__part").orderBy(*order)))
+    met = F.col("__part") == F.col("__in")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    placed = inner.join(F.broadcast(before), met, "left")
+    return placed.select(*df.columns, (F.col("__nr") + F.coalesce("__before", F.lit(0))).cast("int").alias(into))
 
 
 def same_item(a: Column, b: Column, system_a: Column, system_b: Column) -> Column:

@@ -344,13 +344,14 @@ def _principals(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "title_principals").withColumn("category", lookup.category()).select("tconst", "ordering", "nconst", "category", "job", "characters").distinct()
 
 
-@query(f"""WITH {_PEOPLE}, {_PRINCIPALS} SELECT tconst, category, string_agg(nconst || '=' || coalesce(primaryname, ''), ';' ORDER BY ordering, nconst, coalesce(primaryname, '')) AS persons
-    FROM principals LEFT JOIN people USING (nconst) WHERE category IS NOT NULL AND nconst IS NOT NULL GROUP BY 1, 2""")
+@query(f"""WITH {_PEOPLE}, {_PRINCIPALS} SELECT tconst, category, nconst, primaryname, characters, CAST(row_number() OVER (PARTITION BY tconst, category ORDER BY ordering NULLS FIRST, nconst, primaryname NULLS FIRST, characters NULLS FIRST, job NULLS FIRST) AS INTEGER) AS pos
+    FROM principals LEFT JOIN people USING (nconst) WHERE category IS NOT NULL AND nconst IS NOT NULL""")
 def cast_by_category(spark: SparkSession, folder: str) -> DataFrame:
+    """Credits of every title by category, in billing order; a row each, as a title may hold any number."""
     people = _people(spark, folder).select("nconst", "primaryname").distinct()
     found = _principals(spark, folder).filter("category is not null and nconst is not null").join(people, "nconst", "left")
-    listed = F.sort_array(F.collect_list(F.struct("ordering", "nconst", F.coalesce("primaryname", F.lit("")).alias("name"))))
-    return found.groupBy("tconst", "category").agg(F.array_join(F.transform(listed, lambda p: F.concat(p["nconst"], F.lit("="), p["name"])), ";").alias("persons"))
+    order = [F.col("ordering"), F.col("nconst"), F.col("primaryname"), F.col("characters"), F.col("job")]
+    return ordering.numbered(found, ["tconst", "category"], order).select("tconst", "category", "nconst", "primaryname", "characters", "pos")
 
 
 @query("SELECT tconst, category, count(*) AS n, min(ordering) AS first_ordering FROM (SELECT DISTINCT tconst, ordering, nconst, CASE WHEN category IN ('actor', 'actress', 'self') THEN 'cast' ELSE nullif(category, '') END AS category FROM title_principals) WHERE category IS NOT NULL AND nconst IS NOT NULL GROUP BY 1, 2")
@@ -384,10 +385,40 @@ def akas_shape(spark: SparkSession, folder: str) -> DataFrame:
     return shape.withColumns({"types": F.array_join("types", "|"), "attributes": F.array_join("attributes", "|")})
 
 
+@query(f"""WITH {_BASICS_SQL}, {_PEOPLE}, {_PRINCIPALS}, {_EPISODES}, {_RATINGS_SQL},
+    crew AS (SELECT DISTINCT tconst, directors, writers FROM title_crew),
+    listed AS (SELECT tconst, 'director' AS part, {_list("directors")} AS l FROM crew WHERE directors <> '' UNION ALL SELECT tconst, 'writer', {_list("writers")} FROM crew WHERE writers <> ''),
+    staff AS (SELECT tconst, part, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS pos, unnest(l) AS ref FROM listed)
+    SELECT tconst, 'title' AS part, startyear AS pos, titletype AS ref, primarytitle AS value FROM basics
+    UNION ALL SELECT tconst, part, pos, ref, primaryname FROM staff LEFT JOIN people ON ref = nconst WHERE ref <> ''
+    UNION ALL SELECT tconst, category, ordering, nconst, primaryname FROM (SELECT DISTINCT tconst, category, ordering, nconst FROM principals WHERE category IS NOT NULL AND nconst IS NOT NULL) LEFT JOIN people USING (nconst)
+    UNION ALL SELECT e.tconst, 'episode of', e.seasonnumber, e.parenttconst, b.primarytitle FROM episodes e LEFT JOIN basics b ON e.parenttconst = b.tconst
+    UNION ALL SELECT tconst, 'rating', numvotes, NULL, CAST(averagerating AS VARCHAR) FROM ratings
+    UNION ALL SELECT titleid, 'aka', ordering, region, title FROM (SELECT DISTINCT titleid, ordering, region, title FROM title_akas)""")
+def title_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything known of every title, a row for each part, as a title may have any number of credits and other titles."""
+    titles, people = _titles(spark, folder), _people(spark, folder).select("nconst", "primaryname").distinct()
+    crew = table(spark, folder, "title_crew").select("tconst", "directors", "writers").distinct()
+    row = lambda df, part, pos, ref, value, key="tconst": df.select(F.col(key).alias("tconst"), part.alias("part"), pos.cast("int").alias("pos"), ref.cast("string").alias("ref"), value.cast("string").alias("value"))
+    staff = lambda field, part: row(lookup.listed_people(crew.filter(F.col(field) != ""), people, field), F.lit(part), F.col("pos"), F.col("nconst"), F.col("primaryname"))
+    credited = _principals(spark, folder).filter("category is not null and nconst is not null").select("tconst", "category", "ordering", "nconst").distinct().join(people, "nconst", "left")
+    seasons = _episodes(spark, folder).join(titles.select(F.col("tconst").alias("parenttconst"), "primarytitle"), "parenttconst", "left")
+    akas = table(spark, folder, "title_akas").select("titleid", "ordering", "region", "title").distinct()
+    parts = [
+        row(titles, F.lit("title"), F.col("startyear"), F.col("titletype"), F.col("primarytitle")), staff("directors", "director"), staff("writers", "writer"),
+        row(credited, F.col("category"), F.col("ordering"), F.col("nconst"), F.col("primaryname")), row(seasons, F.lit("episode of"), F.col("seasonnumber"), F.col("parenttconst"), F.col("primarytitle")),
+        row(_ratings(spark, folder), F.lit("rating"), F.col("numvotes"), F.lit(None), F.col("averagerating")), row(akas, F.lit("aka"), F.col("ordering"), F.col("region"), F.col("title"), "titleid"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query()
 def title_detail(spark: SparkSession, folder: str) -> DataFrame:
-    """Everything known of every title; lists as JSON."""
-    ids = table(spark, folder, "title_basics").select("tconst").distinct()
+    """Records of the titles of one query's hits, with lists as JSON; whole catalogues are ``title_parts``."""
+    ids = title_search_ranked(spark, folder).select("tconst").distinct()
     one = lambda name: table(spark, folder, name).drop("loaded_at").distinct()
     people = one("name_basics").select("nconst", "primaryname").distinct()
     found = lookup.title_detail(ids, one("title_basics"), one("title_crew"), one("title_episode"), one("title_principals"), people, one("title_ratings"), one("title_akas"))

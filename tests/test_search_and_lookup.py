@@ -86,3 +86,13 @@ def test_filter_reaches_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/title_basics.parquet").select("tconst", "primarytitle")
     plan = lookup.rows_where(df, "tconst", "tt1")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(tconst,tt1)" in plan and "ReadSchema: struct<tconst:string,primarytitle:string>" in plan
+
+
+def test_numbering_of_groups_that_span_partitions(spark, rows):
+    from pyspark.sql import Window as W
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 7).cast("string")).alias("g"), F.col("id"), (F.col("id") % 10).alias("v"))
+    order = [F.col("v").desc_nulls_first(), F.col("id").asc()]
+    want = df.withColumn("pos", F.row_number().over(W.partitionBy("g").orderBy(*order)))
+    assert rows(ordering.numbered(df, ["g"], order)) == rows(want)
+    assert ordering.numbered(df.limit(0), ["g"], order).count() == 0
