@@ -91,3 +91,29 @@ def container(tag: str, what: str, key: Column, shown: Column, elements: list[Co
 def parsed(xml: Column, schema: str) -> Column:
     """Values of a record's XML, by element name."""
     return F.from_xml(xml, schema)
+
+
+# ---------------------------------------------------------------- links
+
+
+def linked_refs(text: Column, titles: Column, names: Column, base: str = "https://films.example") -> Column:
+    """A text as HTML: addresses become links, and so do references whose title or name is in a map to ids.
+
+    References are taken apart in JVM expressions: the text is cut at the marks of references, and each piece is judged
+    by itself. A reference that is in no map stays as its plain words.
+    """
+    safe = F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    safe = F.regexp_replace(safe, r"(https?://[^\s<>\"']+)", '<a href="$1">$1</a>')
+    pieces = F.regexp_extract_all(safe, F.lit(r"(?s)(?:_[^_]+_ \(qv\)|'[^']+' \(qv\)|.+?(?=_[^_]+_ \(qv\)|'[^']+' \(qv\)|\z))"), F.lit(0))
+
+    def judged(p: Column) -> Column:
+        title, name = F.regexp_extract(p, r"^_(.+)_ \(qv\)$", 1), F.regexp_extract(p, r"^'(.+)' \(qv\)$", 1)
+        link = lambda kind, key, words: F.coalesce(F.concat(F.lit(f'<a href="{base}/{kind}/'), key.cast("string"), F.lit('">'), words, F.lit("</a>")), words)
+        return F.when(title != "", link("title", titles[title], title)).when(name != "", link("name", names[name], name)).otherwise(p)
+
+    return F.array_join(F.transform(pieces, judged), "")
+
+
+def labels(keys: list[str], translated: dict[str, str]) -> dict[str, str]:
+    """Shown labels of keys: a translation, else the key itself."""
+    return {k: translated.get(k, k) for k in keys}

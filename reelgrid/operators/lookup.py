@@ -167,3 +167,68 @@ def head_and_tail(df: DataFrame, order: list[Column], head: int, tail: int) -> D
     first = df.orderBy(*order).limit(head)
     last = df.orderBy(*turned).limit(tail)
     return first.unionAll(last).distinct()
+
+
+# ---------------------------------------------------------------- computed keys and alternate titles
+
+
+def title_keys(shown: DataFrame, language: str | None = None) -> DataFrame:
+    """``shown`` (title, kind, startyear) with its computed keys; ``language`` decides which words are articles."""
+    from reelgrid.functions import keys, text
+
+    index = F.lit(None).cast("string")
+    canonical, smart = keys.canonical_title(F.col("title")), keys.canonical_title(F.col("title"), language)
+    long = lambda t: text.build_title(t, F.col("kind"), F.col("startyear"), index)
+    return shown.withColumns({"canonical_title": canonical, "smart_canonical_title": smart, "long_title": long(F.col("title")), "long_canonical_title": long(canonical), "smart_long_canonical_title": long(smart)})
+
+
+def episode_keys(shown: DataFrame) -> DataFrame:
+    """``shown`` (title, startyear, series_title, series_kind) with the computed keys of episodes."""
+    from reelgrid.functions import keys, text
+
+    long = text.build_episode_title(F.col("series_title"), F.col("series_kind"), F.col("title"), F.col("startyear"), F.lit(None).cast("string"))
+    return shown.withColumns({"long_episode_title": long, "canonical_series_title": keys.canonical_title(F.col("series_title")), "episode_title": F.col("title"), "canonical_episode_title": keys.canonical_title(F.col("title"))})
+
+
+def person_keys(shown: DataFrame) -> DataFrame:
+    """``shown`` (name) with its computed keys."""
+    from reelgrid.functions import text
+
+    split = shown.withColumn("__split", text.split_name(F.col("name")))
+    return split.withColumns({"first_name": F.col("__split.first"), "last_name": F.col("__split.last"), "canonical_name": text.canonical_name(F.col("name")), "normal_name": text.normalize_name(F.col("name"))}).drop("__split")
+
+
+def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Records of ``old`` with the values of ``new`` where it has any."""
+    other = new.select(*[F.col(c).alias(f"__{c}") for c in new.columns])
+    joined = old.join(other, old[key] == other[f"__{key}"], "left")
+    return joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in new.columns and c != key else F.col(c) for c in old.columns])
+
+
+def aka_language() -> Column:
+    """Language of an alternate title: its own, else null."""
+    return F.nullif(F.lower(F.col("language")), F.lit(""))
+
+
+def akas_in_language(akas: DataFrame, language: str) -> DataFrame:
+    """Alternate titles in a language."""
+    return akas.filter(aka_language() == language.lower())
+
+
+def akas_by_similarity(akas: DataFrame, titles: DataFrame, wanted: str, language: str | None = None) -> DataFrame:
+    """(tconst, title, language, score): a title and its alternate ones by similarity to a text, a language being preferred by 1."""
+    from reelgrid.functions.similarity import ratio
+
+    own = titles.select("tconst", F.col("primarytitle").alias("title"), F.lit(None).cast("string").alias("language"))
+    rows = own.unionByName(akas.select(F.col("titleid").alias("tconst"), "title", aka_language().alias("language"))).filter("title is not null").distinct()
+    scored = rows.withColumn("__raw", ratio(F.lower("title"), F.lit(wanted.lower())))
+    bonus = F.when(F.col("language") == (language or "").lower(), 1.0).otherwise(0.0)
+    return scored.withColumn("score", F.col("__raw") + F.coalesce(bonus, F.lit(0.0))).drop("__raw")
+
+
+def same_title(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id) of records of two frames (tconst, long_title) that are the same by id or long title."""
+    left, right = a.select(F.col("tconst").alias("a_id"), F.col("long_title").alias("a_title")), b.select(F.col("tconst").alias("b_id"), F.col("long_title").alias("b_title"))
+    by_id = left.join(right, left["a_id"].cast("string") == right["b_id"].cast("string"))
+    by_title = left.join(right, left["a_title"] == right["b_title"])
+    return by_id.select("a_id", "b_id").unionAll(by_title.select("a_id", "b_id")).distinct()

@@ -49,16 +49,23 @@ def max_of(name: str, value: Column) -> State:
     return State(name, F.max(value), F.max)
 
 
+def input_chunks(df: DataFrame) -> int:
+    """Number of input splits of a frame, or of shuffle partitions behind an exchange; nothing is run for it."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if "Exchange" in plan or "Aggregate" in plan or "Join" in plan or "Window" in plan:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.rdd.getNumPartitions()
+
+
 def tree_aggregate(df: DataFrame, key: str, states: list[State], fan_in: int = 32) -> DataFrame:
     """One row per value of ``key`` with the merged states."""
-    chunks, width = df.rdd.getNumPartitions(), fan_in
+    chunks = input_chunks(df)
     level = df.withColumn("__chunk", F.spark_partition_id())
     aggs = [s.make.alias(s.name) for s in states]
     while chunks > fan_in:
-        level = level.groupBy(F.col(f"`{key}`"), F.floor(F.col("__chunk") / F.lit(width)).alias("__chunk")).agg(*aggs)
+        level = level.groupBy(F.col(f"`{key}`"), F.floor(F.col("__chunk") / F.lit(fan_in)).alias("__chunk")).agg(*aggs)
         aggs = [s.merge(s.name).alias(s.name) for s in states]
         chunks = -(-chunks // fan_in)
-        width = fan_in
     return level.groupBy(F.col(f"`{key}`")).agg(*aggs)
 
 

@@ -553,3 +553,57 @@ def head_tail_sample(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT region, language, count(*) AS n FROM title_akas GROUP BY 1, 2")
 def aka_languages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "title_akas").groupBy("region", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- computed keys and alternate titles
+
+_LONG = "CASE WHEN {t} <> '' THEN CASE WHEN k IN ('tv series', 'tv mini series') THEN '\"' || {t} || '\"' ELSE {t} END || ' (' || coalesce(CAST(startyear AS VARCHAR), '????') || ')' || CASE k WHEN 'tv movie' THEN ' (TV)' WHEN 'video movie' THEN ' (V)' WHEN 'tv mini series' THEN ' (mini)' WHEN 'video game' THEN ' (VG)' ELSE '' END ELSE '' END"
+
+
+@query(f"""WITH {_BASICS_SQL}, c AS (SELECT tconst, startyear, primarytitle AS title, {_canonical_title("primarytitle")} AS canonical_title, {_KIND_SQL} AS k FROM basics)
+    SELECT tconst, title, canonical_title, {_LONG.format(t="title")} AS long_title, {_LONG.format(t="canonical_title")} AS long_canonical_title FROM c""")
+def title_computed_keys(spark: SparkSession, folder: str) -> DataFrame:
+    shown = _titles(spark, folder).select("tconst", F.col("primarytitle").alias("title"), text.mapped_kind(F.col("titletype")).alias("kind"), "startyear")
+    return lookup.title_keys(shown).select("tconst", "title", "canonical_title", "long_title", "long_canonical_title")
+
+
+@query(f"""WITH {_BASICS_SQL}, {_EPISODES}, k AS (SELECT e.tconst, e.parenttconst, b.primarytitle AS title, b.startyear, s.primarytitle AS series_title, CASE s.titletype {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items())} ELSE s.titletype END AS kind
+      FROM episodes e JOIN basics b ON e.tconst = b.tconst JOIN basics s ON e.parenttconst = s.tconst WHERE b.primarytitle <> '')
+    SELECT tconst, parenttconst, series_title, CASE WHEN kind IN ('tv series', 'tv mini series') THEN '"' || series_title || '"' ELSE series_title END || CASE kind WHEN 'tv movie' THEN ' (TV)' WHEN 'video movie' THEN ' (V)' WHEN 'tv mini series' THEN ' (mini)' WHEN 'video game' THEN ' (VG)' ELSE '' END
+      || ' ' || title || ' (' || coalesce(CAST(startyear AS VARCHAR), '????') || ')' AS long_episode_title, {_canonical_title("series_title")} AS canonical_series_title FROM k""")
+def episode_computed_keys(spark: SparkSession, folder: str) -> DataFrame:
+    titles = _titles(spark, folder)
+    series = titles.select(F.col("tconst").alias("parenttconst"), F.col("primarytitle").alias("series_title"), text.mapped_kind(F.col("titletype")).alias("series_kind"))
+    rows = _episodes(spark, folder).select("tconst", "parenttconst", "seasonnumber", "episodenumber").join(titles.select("tconst", F.col("primarytitle").alias("title"), "startyear"), "tconst").join(series, "parenttconst").filter("title <> ''")
+    return lookup.episode_keys(rows).select("tconst", "parenttconst", "series_title", "long_episode_title", "canonical_series_title")
+
+
+@query(f"""WITH {_canonical_names("name_basics", "primaryname", "nconst")} SELECT DISTINCT nconst, name, canonical AS canonical_name,
+    CASE WHEN len(string_split(name, ', ')) = 2 THEN string_split(name, ', ')[2] || ' ' || string_split(name, ', ')[1] ELSE name END AS normal_name FROM named""")
+def person_computed_keys(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "name_basics").select("nconst", F.col("primaryname").alias("name")).distinct()
+    return lookup.person_keys(names).select("nconst", "name", "canonical_name", "normal_name")
+
+
+@query("SELECT titleid, ordering, title FROM title_akas WHERE lower(language) = 'de'")
+def akas_in_language(spark: SparkSession, folder: str) -> DataFrame:
+    return lookup.akas_in_language(table(spark, folder, "title_akas"), "de").select("titleid", "ordering", "title")
+
+
+@query()
+def akas_by_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    return lookup.akas_by_similarity(table(spark, folder, "title_akas"), _titles(spark, folder), "Der letzte Fluss", "de")
+
+
+@query(f"WITH {_BASICS_SQL}, b AS (SELECT tconst, CASE WHEN primarytitle <> '' THEN primarytitle || ' (' || coalesce(CAST(startyear AS VARCHAR), '????') || ')' ELSE '' END AS t FROM basics) SELECT t AS long_title, count(*) AS n, min(tconst) AS first_tconst FROM b GROUP BY 1 HAVING count(*) > 1")
+def same_long_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Long titles that several titles share, without making their pairs."""
+    long = text.build_title(F.col("primarytitle"), F.lit("movie"), F.col("startyear"), F.lit(None).cast("string"))
+    return _titles(spark, folder).select("tconst", long.alias("long_title")).groupBy("long_title").agg(F.count(F.lit(1)).alias("n"), F.min("tconst").alias("first_tconst")).filter("n > 1")
+
+
+@query(f"WITH {_BASICS_SQL}, {_RATINGS_SQL} SELECT b.tconst, b.primarytitle, coalesce(r.numvotes, b.startyear) AS startyear FROM basics b LEFT JOIN ratings r ON b.tconst = r.tconst")
+def merged_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records updated from another relation: the newer value where there is one."""
+    newer = _ratings(spark, folder).select("tconst", F.col("numvotes").alias("startyear"))
+    return lookup.merged(_titles(spark, folder).select("tconst", "primarytitle", "startyear"), newer, "tconst")

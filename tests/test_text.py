@@ -159,3 +159,10 @@ def test_similarity(spark):
     assert got == [None if a is None else SequenceMatcher(None, a, b).ratio() for a, b in pairs]
     close = spark.createDataFrame([("abc", "abcd"), ("ab", "abcd"), ("", ""), (None, "a")], "a string, b string").select(similarity.close_in_length(F.col("a"), F.col("b")))
     assert [r[0] for r in close.collect()] == [True, False, False, False]
+
+
+def test_links_and_labels(ask):
+    got = ask(["see _Foo (1999)_ (qv) & 'Ann B' (qv) or 'No One' (qv) at http://x/y <b>", "plain", "", None], lambda v: render.linked_refs(v, F.create_map(F.lit("Foo (1999)"), F.lit("tt1")), F.create_map(F.lit("Ann B"), F.lit("nm2"))))
+    assert got[0] == 'see <a href="https://films.example/title/tt1">Foo (1999)</a> & <a href="https://films.example/name/nm2">Ann B</a> or No One at <a href="http://x/y">http://x/y</a> &lt;b&gt;'
+    assert got[1:] == ["plain", "", None]
+    assert render.labels(["title", "year"], {"title": "Titel"}) == {"title": "Titel", "year": "year"}
