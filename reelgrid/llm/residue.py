@@ -85,10 +85,10 @@ NOTICES = (
     r"the server (?:met|encountered) an? .{1,160}|the upstream .{1,120}|gateway time-?out\b.{0,120}",
     r"(?:we|the site|this site|our site) (?:are|is) (?:currently )?down for maintenance\b.{0,160}",
     r"sorry, (?:but )?this (?:content|page|video|title|item) is not available\b.{0,120}|this (?:content|page|video|title) is not available in your .{0,80}",
-    r"access denied\.?.{0,120}|acceso denegado\b.{0,120}|accès refusé\b.{0,120}|zugriff verweigert\b.{0,120}|accesso negato\b.{0,120}|you (?:are not allowed|do not have permission) to .{1,120}",
+    r"access denied(?:[.:!].{0,120})?|acceso denegado\b.{0,120}|accès refusé\b.{0,120}|zugriff verweigert\b.{0,120}|accesso negato\b.{0,120}|you (?:are not allowed|do not have permission) to .{1,120}",
     r"your session has (?:expired|ended)\b.{0,120}|ihre sitzung ist abgelaufen\b.{0,120}|votre session a expiré\b.{0,120}|su sesión ha caducado\b.{0,120}|la (?:sua )?sessione è scaduta\b.{0,120}",
     r"the requested (?:record|page|url|resource|file|entry) .{0,60}(?:does not exist|was not found|could not be found|is not available)\b.{0,80}",
-    r"(?:oops!? ?)?something went wrong\b.{0,160}|oops!? .{0,160}",
+    r"(?:oops!? ?)?(?:something went wrong|an error (?:has )?occurred)(?: on our (?:side|end)|[.!]|, please|; please| while (?:loading|processing)).{0,160}",
     r"(?:please )?verify (?:that )?you are (?:a )?human\b.{0,160}|checking your browser\b.{0,120}",
     r"too many requests\b.{0,160}",
     r"this page (?:no longer exists|does not exist|has been moved|was removed)\b.{0,120}|the link you followed may be broken\b.{0,160}",
@@ -128,14 +128,14 @@ def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hos
     """
     real = docs.select("doc_id", "text", "source", "tconst").filter(F.col("text").rlike(r"\S"))
     marked = real.withColumns({"placeholder": unfilled(F.col("text")), "filler": matches(F.col("text"), FILLER)})
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\u00a0"))), lambda x: x != "")
     short = (F.length("text") <= MOST_CHARS + 700) & (F.size(F.split("text", "\n")) <= MOST_LINES + 8)
     judged = marked.withColumn("lines", F.when(short, lines)).withColumns({
         "body": F.filter("lines", lambda x: ~x.rlike(f"^(?:{FURNITURE})$")),
         "furniture": F.filter("lines", lambda x: x.rlike(f"^(?:{FURNITURE})$")),
     })
     whole = lambda x: x.rlike(f"^(?:{NOTICE})$")
-    notice = (F.size("body") > 0) & (F.size("body") <= MOST_LINES) & F.exists("body", whole) & (F.forall("body", lambda x: whole(x) | (F.length(x) <= 60)) | F.forall("body", whole))
+    notice = (F.size("body") > 0) & (F.size("body") <= MOST_LINES) & F.exists("body", whole) & (F.forall("body", whole) | ((F.size("furniture") > 0) & F.forall("body", lambda x: whole(x) | (F.length(x) <= 60))))
     sure = judged.withColumn("evidence", F.when(F.col("placeholder"), "placeholder").when(F.col("filler"), "filler").when(notice, "notice"))
     known = sure.filter("evidence is not null").select("doc_id", "evidence")
     low = (F.size("furniture") > 0) & (F.size("body") > 0) & (F.size("body") <= MOST_LINES) & (F.length(F.array_join("body", "\n")) <= 200)

@@ -7,11 +7,13 @@ FLAGGED = [
     "__CITY__ sleeps", "@@NAME@@ vuelve", "[[genre]] asks", "[your city here] at night", "(insert plot here) starts", "the [PERSON_NAME] river", "wait for the {3} credits", "by {person.name}", "%(cast[0])s sings", "<if year>%(year)s</if year>", "<%= city %> at night", "a <insert name> of",
     "Real text.\n\nLorem ipsum dolor sit amet, consectetur adipiscing elit sed do.\n\nMore.", "xxxx xxx XXXXX xx", "asdf jkl qwerasdf", "Blah blah Blah blah Blah blah.", "TBD", "Intro.\nTODO: write this section\nEnd.", "(empty draft)", "Dies ist ein Blindtext. Er füllt 20 Zeilen.",
     "404 Not Found", "<h1>The Film</h1>\n503 Service Temporarily Unavailable. Please try again in 3 seconds.\nRay 0a1b2c3d4e", "Access denied. You are not allowed to open this entry.\n\nBack to the start page", "You need to enable JavaScript to view The Film.",
+    "Traceback (most recent call last):\n  File \"/srv/a.py\", line 3, in show\n    return row[\"x\"]\nKeyError: 'x'", "java.lang.NullPointerException\n\tat a.b.C.d(C.java:3)",
     "Home > Titles > The Film\nTraceback (most recent call last):\n  File \"/srv/a.py\", line 3, in show\n    return row[\"x\"]\nKeyError: 'x'", "Votre session a expiré, veuillez vous reconnecter.", '{"status":404,"error":"not_found","path":"/titles/3"}', "Loading…\nIf reviews does not appear, check that JavaScript is active.",
 ]
 REAL = [
     "A prop newspaper repeats lorem ipsum across its columns, as Ann noticed.", 'The Latin over the gate, "sit tibi dolor levis", was chosen.', "I got a 404 on the page of The Film yesterday, it works again now.", "The joke about error 404 is that room 404 of the hotel does not exist.",
     'The terminal shows "access denied" and she faints.', "Ann learns JavaScript in this film, and to enable the robot needs a script and a cookie.", "The clerk writes [name withheld] and 79 % of the case is gone.", "The set list {1, 2, 3} was painted on the wall, with $ 50 and a blank line ____ for the winner.",
+    "Something went wrong in Rome, and only Ann, the producer, can be asked to try again later.", "Something went wrong in the second act, and I liked it.", "oops i meant the other film", "Access denied, says the terminal, and Ann faints.", "ok that was fun\n404 not found lol\nyes",
     "[bridge rings]\n\n<i>Nobody tells.</i>", "Bob signs every letter with your name here, a running gag.", "En 1949, Ann empieza como actress, y todo cambia.", "He plays the service that is temporarily unavailable: a ferry.", "The makers denied on Friday that Ann will leave.", "lol ¯\\_(ツ)_/¯", "> the field was real",
     "Shot in spring at 50% of the budget, 100% real.", "ÜBER-MENSA 2000", "メラニセネヘナモス。ホソコレ。", "xxx", "2 < 3 and 5 > 4",
 ]
