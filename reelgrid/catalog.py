@@ -143,11 +143,11 @@ class Record:
         self.kind, self.data, self._modify = kind, {k: v for k, v in data.items() if v not in (None, "", [])}, modify
 
     def _computed(self, key: str) -> Any:
-        if self.kind == "movie" and key == "long imdb title" and "title" in self.data:
+        if self.kind == "movie" and key == "long title" and "title" in self.data:
             year = self.data.get("year", "????")
             title = f'"{self["title"]}"' if self.data.get("kind") in ("tv series", "tv mini series") else self["title"]
             return f"{title} ({str(year)[:4]})"
-        if self.kind == "person" and key == "long imdb name":
+        if self.kind == "person" and key == "long name":
             return self.data.get("name")
         return None
 

@@ -53,13 +53,13 @@ def normalize_name(name: Column) -> Column:
 
 
 def analyze_name(name: Column) -> Column:
-    """struct(name, imdb_index): what follows `` aka `` and other parentheses go; a name that is empty then is null."""
+    """struct(name, roman_index): what follows `` aka `` and other parentheses go; a name that is empty then is null."""
     head = F.trim(F.substring_index(name, " aka ", 1))
     index = F.regexp_extract(head, rf"^.+\(({ROMAN})\)[^)]*$", 1)
     bare = F.rtrim(F.regexp_replace(head, rf"(?s)\({ROMAN}\)[^)]*$", ""))
     noted = head.rlike(r"^[^(].*\(.*\)")
     clean = F.when(index != "", bare).when(noted, F.trim(F.regexp_replace(head, r"\(.*\)", ""))).otherwise(head)
-    return F.when(clean != "", F.struct(clean.alias("name"), F.nullif(index, F.lit("")).alias("imdb_index")))
+    return F.when(clean != "", F.struct(clean.alias("name"), F.nullif(index, F.lit("")).alias("roman_index")))
 
 
 def build_name(name: Column, index: Column) -> Column:
@@ -153,6 +153,7 @@ def build_company(name: Column, country: Column) -> Column:
 
 # ---------------------------------------------------------------- markup, notes and dates
 
+#: The marks of references, a title's with its year and kind.
 _YEAR_MARK = rf"(?: \([0-9?]{{4}}(?:/{ROMAN})?\))?(?: \(mini\)| \(TV\)| \(V\)| \(VG\))?"
 
 
@@ -255,9 +256,13 @@ def full_size_url(url: Column) -> Column:
     return F.when(url.contains("@"), marked).otherwise(F.regexp_replace(url, r"(?s)^(.*)\.[^.]*(\.[^.]*)$", "$1$2"))
 
 
-def sized_url(url: Column, width: int | None = None, height: int | None = None, crop: tuple[str, ...] = ()) -> Column:
+#: What an image's address looks like up to its marks; a parameter, as it depends on the site.
+PICTURE = r"https://[\w.-]+/images/\w/\w+"
+
+
+def sized_url(url: Column, width: int | None = None, height: int | None = None, crop: tuple[str, ...] = (), picture: str = PICTURE) -> Column:
     """Address of an image at a given size; null where the address is no image's."""
-    base = F.regexp_extract(url, r"(https://m\.media-amazon\.com/images/\w/\w+)", 1)
+    base = F.regexp_extract(url, f"({picture})", 1)
     marks = F.when(url.contains("@@"), "@@").when(url.contains("@"), "@").otherwise("")
     size = (f"SX{width}_" if width else "") + (f"SY{height}_" if height else "") + (f"CR{','.join(crop)}_" if crop else "")
     return F.when(base != "", F.concat(base, marks, F.lit(f"._V1_{size}.jpg")))

@@ -64,7 +64,7 @@ def test_catalog(spark, loaded):
         assert [r["tconst"] for r in c.search_titles_advanced("東京", kinds=["tvSeries"]).collect()] == [3]
         assert [r["nconst"] for r in c.search_people("Actor, Example").collect()] == [1]
         movie = c.title("tt0000001")
-        assert movie["rating"] == 7.5 and movie["runtimes"] == [95] and movie["year"] == "2026" and movie["long imdb title"] == "Example Movie (2026)"
+        assert movie["rating"] == 7.5 and movie["runtimes"] == [95] and movie["year"] == "2026" and movie["long title"] == "Example Movie (2026)"
         assert movie["people"]["cast"][0]["roles"] == ["Hero", "Narrator"] and movie["people"]["director"][0]["primaryname"] is None
         assert movie["akas"][0]["title"] == "Example Alternate" and "plot" not in movie and movie == c.title(1)
         person = c.person(1)

@@ -91,8 +91,8 @@ def test_long_titles(ask):
 
 PARSED = {
     "The Matrix (1999)": {"title": "The Matrix", "year": 1999, "kind": "movie"},
-    "Foo (1986/II)": {"title": "Foo", "year": 1986, "imdb_index": "II"},
-    "Foo (II) (1986)": {"title": "Foo", "year": 1986, "imdb_index": "II"},
+    "Foo (1986/II)": {"title": "Foo", "year": 1986, "roman_index": "II"},
+    "Foo (II) (1986)": {"title": "Foo", "year": 1986, "roman_index": "II"},
     '"Bar" (2003) (mini)': {"title": "Bar", "kind": "tv mini series"},
     '"Bar" (2003-2005)': {"title": "Bar", "kind": "tv series", "year": 2003, "series_years": "2003-2005"},
     "Foo (????)": {"title": "Foo", "year": None},
@@ -132,7 +132,7 @@ def test_lists_ids_and_links(ask):
     assert [r and tuple(r) for r in ask(["https://x/title/tt0133093/", "nm12345678?x", "tt123", "co0000001"], text.id_in_url)] == [("tt", "0133093"), ("nm", "12345678"), None, ("co", "0000001")]
     assert ask(["12", "12345678"], lambda v: text.padded_id("tt", v.cast("long"))) == ["tt0000012", "tt12345678"]
     assert ask(["https://i/a@._V1_SX3.jpg", "https://i/a._V1.jpg"], text.full_size_url) == ["https://i/a@.jpg", "https://i/a.jpg"]
-    assert ask(["https://m.media-amazon.com/images/M/abc@@._V1_.jpg", "x"], lambda v: text.sized_url(v, 3, None, ("0", "1"))) == ["https://m.media-amazon.com/images/M/abc@@._V1_SX3_CR0,1_.jpg", None]
+    assert ask(["https://pictures.example/images/M/abc@@._V1_.jpg", "x"], lambda v: text.sized_url(v, 3, None, ("0", "1"))) == ["https://pictures.example/images/M/abc@@._V1_SX3_CR0,1_.jpg", None]
     assert ask(["tvSeries", "tvMovie"], text.mapped_kind) == ["tv series", "tvMovie"]
     assert ask(["Italy", "Nowhere"], lambda v: text.language_of(F.lit(None).cast("array<string>"), F.array(v))) == ["Italian", None]
     assert linguistics.language_of_countries()["Brazil"] == "Portuguese"
@@ -146,7 +146,7 @@ def test_templates_cards_and_xml(spark, ask):
     assert ask(["Ann"], lambda v: render.person_card(v, F.lit(1960), F.lit(None).cast("int"), F.array(F.lit("A (1)"), F.lit("B (2)")), F.array().cast("array<string>")))[0] == "Person\n=====\nName: Ann\nBirth date: 1960.\nLast movies directed: A (1); B (2).\n"
     assert ask(["Acme"], lambda v: render.company_card(v, {"distributor": F.array(F.lit("A"))}))[0] == "Company\n=======\nName: Acme\nLast movies from this company (distributor): A.\n"
     assert ask(["Neo"], lambda v: render.character_card(v, F.array(F.lit("A"))))[0] == "Character\n=====\nName: Neo\nLast movies with this character: A.\n"
-    assert render.tag_of("long imdb title") == ("long-imdb-title", ' key="long imdb title"') and render.tag_of("1") == ("item", ' key="1"') and render.tag_of("title") == ("title", "")
+    assert render.tag_of("long title") == ("long-title", ' key="long title"') and render.tag_of("1") == ("item", ' key="1"') and render.tag_of("title") == ("title", "")
     xml = ask(["A & 'B'::note"], lambda v: render.container("movie", "title", F.lit(7), v, [render.element("genres", F.array(F.lit("x"), F.lit("<y>")), "array<string>"), render.element("votes", F.lit(3), "int", "main"), render.element("gone", F.lit(None).cast("int"), "int")], "db"))[0]
     assert xml == '<movie id="7" access-system="db"><title>A &amp; &apos;B&apos;<notes>note</notes></title><genres><item>x</item><item>&lt;y&gt;</item></genres><votes infoset="main" type="int">3</votes></movie>'
     assert ask([xml], lambda v: render.parsed(v, "genres struct<item: array<string>>, votes struct<_VALUE: int>"))[0]["genres"]["item"] == ["x", "<y>"]
