@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -45,36 +45,55 @@ def _opened(uri: str) -> pq.ParquetFile:
     return pq.ParquetFile(where.open_input_file(path))
 
 
-def best_of_file(uri: str, n: int) -> tuple[pd.DataFrame, int, int]:
-    """The N best rows of each group in a file, with the number of row groups read and skipped."""
-    file = _opened(uri)
-    names = file.schema_arrow.names
-    at = {c: names.index(c) for c in ("grp", "score")}
-    heads = []
-    for k in range(file.num_row_groups):
-        meta = file.metadata.row_group(k)
-        score, grp = meta.column(at["score"]).statistics, meta.column(at["grp"]).statistics
-        top = score.max if score is not None and score.has_min_max else np.inf
-        only = grp.min if grp is not None and grp.has_min_max and grp.min == grp.max else None
-        heads.append((-top, k, only))
-    best = pd.DataFrame(columns=_COLUMNS)
-    nth: dict[str, float] = {}
-    read = skipped = 0
-    for top, k, only in sorted(heads, key=lambda h: h[:2]):
-        if nth:
-            inside = [only] if only is not None else pa.compute.unique(file.read_row_group(k, ["grp"])["grp"]).to_pylist()
-            if all(-top < nth.get(g, -np.inf) for g in inside):
-                skipped += 1
+def best_of_file(uri: str, n: int) -> Iterator[pd.DataFrame]:
+    """The N best rows of each group in a file that is sorted by group.
+
+    A group that is neither the first nor the last of its row group lies in it wholly, so it is done at once; only the
+    groups at the ends of row groups are kept and merged, and only those have an N-th score to skip by.
+    """
+    return _Reader(uri, n).run()
+
+
+class _Reader:
+    """Reads one file; ``read`` and ``skipped`` count its row groups."""
+
+    def __init__(self, uri: str, n: int) -> None:
+        self.file, self.n, self.read, self.skipped = _opened(uri), n, 0, 0
+        self.kept: dict[str, pd.DataFrame] = {}
+        self.nth: dict[str, float] = {}
+
+    def below(self, top: float, groups: list[str]) -> bool:
+        return all(top < self.nth.get(g, -np.inf) for g in groups)
+
+    def heads(self) -> list[tuple[float, int, list[str] | None]]:
+        """(largest score, row group, first and last group) of every row group, largest score first."""
+        names = self.file.schema_arrow.names
+        score_at, grp_at, out = names.index("score"), names.index("grp"), []
+        for k in range(self.file.num_row_groups):
+            meta = self.file.metadata.row_group(k)
+            score, grp = meta.column(score_at).statistics, meta.column(grp_at).statistics
+            ends = sorted({grp.min, grp.max}) if grp is not None and grp.has_min_max else None
+            out.append((score.max if score is not None and score.has_min_max else np.inf, k, ends))
+        return sorted(out, key=lambda h: (-h[0], h[1]))
+
+    def run(self) -> Iterator[pd.DataFrame]:
+        for top, k, ends in self.heads():
+            if ends is not None and self.below(top, ends) and (len(ends) == 1 or self.below(top, pc.unique(self.file.read_row_group(k, ["grp"])["grp"]).to_pylist())):
+                self.skipped += 1
                 continue
-        read += 1
-        rows = file.read_row_group(k, _COLUMNS).to_pandas()
-        touched = set(rows["grp"])
-        old = best["grp"].isin(touched)
-        new = _best(pd.concat([best[old], rows]) if old.any() else rows, n)
-        best = pd.concat([best[~old], new]) if len(best) else new
-        ends = new.groupby("grp", sort=False)["score"].agg(["size", "min"])
-        nth.update(ends.loc[ends["size"] == n, "min"].to_dict())
-    return best, read, skipped
+            self.read += 1
+            rows = self.file.read_row_group(k, _COLUMNS).to_pandas()
+            grp = rows["grp"].to_numpy()
+            inner = (grp != grp[0]) & (grp != grp[-1])
+            if inner.any():
+                yield _best(rows[inner], self.n)
+            for g in {grp[0], grp[-1]}:
+                mine = rows[grp == g]
+                best = _best(pd.concat([self.kept[g], mine]) if g in self.kept else mine, self.n)
+                self.kept[g] = best
+                if len(best) == self.n:
+                    self.nth[g] = float(best["score"].iloc[-1])
+        yield from self.kept.values()
 
 
 def top_n(rows: DataFrame, n: int, row_group_bytes: int = 1 << 20) -> DataFrame:
@@ -92,7 +111,7 @@ def top_n(rows: DataFrame, n: int, row_group_bytes: int = 1 << 20) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for uri in b["uri"]:
-                yield best_of_file(uri, n)[0]
+                yield from best_of_file(uri, n)
 
     # one row per file of the clustered table: file names, not data
     tasks = spark.createDataFrame([(u, k) for k, u in enumerate(files)], "uri string, k int").repartition(len(files), "k").select("uri")

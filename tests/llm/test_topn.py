@@ -36,8 +36,9 @@ def test_against_brute_force(spark, rows, n):
 def test_row_groups_below_the_nth_score_are_skipped(spark):
     df = spark.range(200_000).selectExpr("'g' as grp", "concat('tt', id) as item", "cast(id % 1000 as double) as score", "1L as second", "cast(0 as decimal(38,0)) as number")
     path = session.written(df.coalesce(1).sortWithinPartitions("grp", df["score"].desc()), "t", **{"parquet.block.row.count.limit": "5000"})
-    best, read, skipped = topn.best_of_file(session.parts(spark, path)[0], 5)
-    assert len(best) == 5 and set(best["score"]) == {999.0} and skipped > 30 and read < 5
+    reader = topn._Reader(session.parts(spark, path)[0], 5)
+    best = list(reader.run())
+    assert len(best) == 1 and len(best[0]) == 5 and set(best[0]["score"]) == {999.0} and reader.skipped > 30 and reader.read < 5
 
 
 def test_empty(spark):
