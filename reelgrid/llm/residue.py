@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid import session
+
 _NAME = r"[\p{L}_][\p{L}\p{N}_ .\[\]-]{0,40}"
 _CAPS = r"\p{Lu}[\p{Lu}\p{N}_.\[\]]{1,40}"
 #: Unfilled template fields: patterns by a text that every match of them holds, which is looked for first, as bytes.
@@ -137,9 +139,11 @@ def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hos
     whole = lambda x: x.rlike(f"^(?:{NOTICE})$")
     notice = (F.size("body") > 0) & (F.size("body") <= MOST_LINES) & F.exists("body", whole) & (F.forall("body", whole) | ((F.size("furniture") > 0) & F.forall("body", lambda x: whole(x) | (F.length(x) <= 60))))
     sure = judged.withColumn("evidence", F.when(F.col("placeholder"), "placeholder").when(F.col("filler"), "filler").when(notice, "notice"))
-    known = sure.filter("evidence is not null").select("doc_id", "evidence")
     low = (F.size("furniture") > 0) & (F.size("body") > 0) & (F.size("body") <= MOST_LINES) & (F.length(F.array_join("body", "\n")) <= 200)
-    open_ = sure.filter(F.col("evidence").isNull() & low).select("doc_id", "source", "tconst", F.array_join("body", "\n").alias("said"), F.array_join("furniture", "\n").alias("above"))
+    # the texts are read once: what is flagged or open is written, and it is little
+    held = session.cut(sure.filter(F.col("evidence").isNotNull() | F.coalesce(low, F.lit(False))).select("doc_id", "evidence", "source", "tconst", F.when(F.col("evidence").isNull(), F.array_join("body", "\n")).alias("said")), "residue")
+    known = held.filter("evidence is not null").select("doc_id", "evidence")
+    open_ = held.filter("evidence is null").select("doc_id", "source", "tconst", "said")
     named = titles.filter("tconst is not null and title is not null").groupBy("tconst").agg(F.min("title").alias("title"))
     terms = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
     compared = open_.join(named, "tconst", "left").withColumn("mismatch", ~F.arrays_overlap(terms(F.col("said")), terms(F.coalesce("title", F.lit("")))))
