@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid import session
+
 
 @dataclass(frozen=True)
 class State:
@@ -70,8 +72,10 @@ def tree_aggregate(df: DataFrame, key: str, states: list[State], fan_in: int = 3
 
 
 def hot_keys(df: DataFrame, key: str, percent: int = 2, fan_in: int = 32) -> DataFrame:
-    """(hot_key, n, total) of the non-null keys that hold at least ``percent`` of 100 rows, all rows being the total."""
-    counted = tree_aggregate(df.select(key), key, [rows_of("n")], fan_in)
-    total = counted.agg(F.sum("n").alias("total"))
-    # total is one row by construction, so this is a scalar looked up, not a product of two tables
-    return counted.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one").filter((F.col("n") * 100 >= F.col("total") * percent) & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("hot_key"), "n", "total")
+    """(hot_key, n, total) of the non-null keys that hold at least ``percent`` of 100 rows, all rows being the total.
+
+    The counts are written once; their sum is one number on the driver.
+    """
+    counted = session.cut(tree_aggregate(df.select(key), key, [rows_of("n")], fan_in), "key-counts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return counted.filter((F.col("n") * 100 >= F.lit(total * percent)) & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("hot_key"), "n", F.lit(total).cast("long").alias("total"))
