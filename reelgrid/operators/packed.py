@@ -107,20 +107,29 @@ def rules_of(shapes: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 <
     return rules, size["n"] <= most_rows and size["b"] <= most_bytes
 
 
-def split_packed(df: DataFrame, field: str, kind: str | Column = "text", into: str = "vals", **bounds: int) -> DataFrame:
-    """``df`` with the array column ``into``: the single values of ``field`` in written order, empty without any.
-
-    ``kind`` is one of KINDS, or a column of them where rows differ.
-    """
+def _ruled(df: DataFrame, field: str, kind: str | Column, **bounds: int) -> DataFrame:
+    """``df`` with the column __rule of its field."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
     rows = df.withColumns({"__kind": kind, "__shape": F.coalesce(skeleton(F.col(f"`{field}`")), F.lit(""))})
     rules, few = rules_of(rows.select(F.col("__kind").alias("rule_kind"), F.col("__shape").alias("skeleton")), **bounds)
     rules = rules.select(F.col("rule_kind").alias("__kind"), F.col("skeleton").alias("__shape"), F.col("rule").alias("__rule"))
+    return rows.join(F.broadcast(rules) if few else rules, ["__kind", "__shape"], "left").drop("__kind", "__shape")
+
+
+def _values(ruled: DataFrame, field: str, into: str) -> DataFrame:
+    """The values of a ruled field, cut out by position."""
     tokens = F.regexp_extract_all(F.col(f"`{field}`"), F.lit(TOKENS), F.lit(0))
     cut = lambda r: F.array_join(F.slice(F.col("__tokens"), r["start"] + 1, r["length"]), "")
     value = lambda r: F.when(r["quoted"], F.replace(cut(r), F.lit('""'), F.lit('"'))).otherwise(cut(r))
-    joined = rows.join(F.broadcast(rules) if few else rules, ["__kind", "__shape"], "left").withColumn("__tokens", tokens)
-    return joined.withColumn(into, F.coalesce(F.transform("__rule", value), F.array().cast("array<string>"))).drop("__kind", "__shape", "__rule", "__tokens")
+    return ruled.withColumn("__tokens", tokens).withColumn(into, F.coalesce(F.transform("__rule", value), F.array().cast("array<string>"))).drop("__rule", "__tokens")
+
+
+def split_packed(df: DataFrame, field: str, kind: str | Column = "text", into: str = "vals", **bounds: int) -> DataFrame:
+    """``df`` with the array column ``into``: the single values of ``field`` in written order, empty without any.
+
+    ``kind`` is one of KINDS, or a column of them where rows differ.
+    """
+    return _values(_ruled(df, field, kind, **bounds), field, into)
 
 
 def packed_values(fields: DataFrame, least: int = 1) -> DataFrame:
@@ -129,5 +138,7 @@ def packed_values(fields: DataFrame, least: int = 1) -> DataFrame:
     Repeated rows count once: rows are made distinct as value lists, before they are exploded. ``least``: fields with
     fewer values are left out.
     """
-    lists = split_packed(fields, "packed", F.col("rule_kind")).filter(F.size("vals") >= max(1, least)).select("field", "rec_key", "vals").distinct()
+    # a rule has an entry for each value, so fields with too few go before any is cut out
+    enough = _ruled(fields, "packed", F.col("rule_kind")).filter(F.size("__rule") >= max(1, least))
+    lists = _values(enough, "packed", "vals").select("field", "rec_key", "vals").distinct()
     return lists.select("field", "rec_key", F.posexplode("vals").alias("pos", "val")).select("field", "rec_key", (F.col("pos") + 1).alias("pos"), "val")
