@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions import keys
 from reelgrid.functions.parse import analyze
 from reelgrid.functions.similarity import LEAST_SCORE, close_in_length, ratio
-from reelgrid.functions.text import canonical_name
+from reelgrid.functions.text import canonical_name, id_number
 from reelgrid.schema import KINDS
 
 #: Weights of kinds among equal scores; other kinds weigh nothing.
@@ -50,6 +50,19 @@ def title_queries(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, query string, query_year int")
 
 
+def row_queries(rows: DataFrame, key: str, query: str, year: str | None = None) -> DataFrame:
+    """(query_id, query, query_year) of a twentieth of the rows, one per id, their ids being the query ids.
+
+    Taken are all ids whose number is divisible by 20. Delivered numbers are nearly all odd, so that this alone takes next
+    to none; those that leave 1 by 40 are taken as well, which are a twentieth of odd numbers.
+    """
+    number = id_number(F.col(key))
+    mine = rows.filter((F.pmod(number, F.lit(20)) == 0) | (F.pmod(number, F.lit(40)) == 1))
+    wish = (F.col(year) if year else F.lit(None)).cast("int")
+    one = mine.groupBy(F.col(key).alias("query_id")).agg(F.min(F.struct(F.col(query).alias("query"), wish.alias("query_year"))).alias("q"))
+    return one.select("query_id", "q.query", "q.query_year")
+
+
 def title_filter(kinds: Iterable[str] | None = None, episodes: bool = False, adult: bool | None = None) -> Column | None:
     """Filter of titles by kind (in either spelling) and adult flag; None without any."""
     tests = []
@@ -102,9 +115,13 @@ def search_titles(queries: DataFrame, titles: DataFrame, akas: DataFrame | None
     score = F.greatest(first, second) - F.when(F.col("kind") == "episode", 0.2).otherwise(0.0)
     scored = raw.withColumn("score", score).filter(F.col("score") >= least)
     best = scored.withColumn("__nr", F.row_number().over(W.partitionBy("query_id", "tconst").orderBy(F.desc("score"), "source", "ordering", "title"))).filter("__nr = 1")
+    return ranked_titles(year_relaxed(best), results)
+
+
+def year_relaxed(hits: DataFrame) -> DataFrame:
+    """Hits (query_id, query_year, title_year, ...) of a query's year if it has any, else all of them."""
     met = F.col("title_year").eqNullSafe(F.col("query_year"))
-    wished = best.withColumn("__met", F.max(F.col("query_year").isNotNull() & met).over(W.partitionBy("query_id"))).filter(~F.col("__met") | met)
-    return ranked_titles(wished, results)
+    return hits.withColumn("__met", F.max(F.col("query_year").isNotNull() & met).over(W.partitionBy("query_id"))).filter(~F.col("__met") | met).drop("__met")
 
 
 def ranked_titles(scored: DataFrame, results: int) -> DataFrame:

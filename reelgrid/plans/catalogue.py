@@ -181,6 +181,10 @@ def _wanted(spark: SparkSession) -> DataFrame:
     return search.title_queries(spark, WANTED)
 
 
+def _asked_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return search.row_queries(table(spark, folder, "title_basics"), "tconst", "primarytitle", "startyear")
+
+
 _WANTED_SQL = "asked(query_id, query) AS (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(WANTED)) + f"), wanted AS (SELECT query_id, query, {_phonetic('b')} AS k FROM (SELECT *, {_strip('query')} AS b FROM asked))"
 _TITLES_SQL = f"titles AS (SELECT *, {_phonetic('b')} AS t_soundex FROM (SELECT *, {_strip('primarytitle')} AS b FROM title_basics))"
 _AKAS_SQL = f"akas AS (SELECT *, {_phonetic('b')} AS t_soundex FROM (SELECT *, {_strip('title')} AS b FROM title_akas))"
@@ -239,14 +243,16 @@ def person_block_or(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def title_search_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """A twentieth of all titles as queries, with their years as wishes, against all titles and alternate titles."""
     titles = table(spark, folder, "title_basics").select("tconst", "primarytitle", text.mapped_kind(F.col("titletype")).alias("titletype"), "startyear", "isadult").distinct()
     akas = table(spark, folder, "title_akas").select("titleid", "ordering", "title").distinct()
-    return search.search_titles(_wanted(spark), titles, akas)
+    return search.search_titles(_asked_titles(spark, folder), titles, akas)
 
 
 @query()
 def person_search_ranked(spark: SparkSession, folder: str) -> DataFrame:
-    queries = spark.createDataFrame(list(enumerate(ASKED)), "query_id int, query string")
+    """A twentieth of all persons as queries against all persons."""
+    queries = search.row_queries(table(spark, folder, "name_basics"), "nconst", "primaryname")
     return search.search_people(queries, table(spark, folder, "name_basics").select("nconst", "primaryname").distinct())
 
 
@@ -264,6 +270,55 @@ def union_hits_maxscore(spark: SparkSession, folder: str) -> DataFrame:
     return search.best_score_per_id(scored).select("id", "score")
 
 
+# ---------------------------------------------------------------- searches of a twentieth of all rows
+
+
+def _row_queries_sql(name: str, key: str, query: str, year: str) -> str:
+    number = f"TRY_CAST(substr({key}, 3) AS BIGINT)"
+    return f"(SELECT {key} AS query_id, {query} AS query, {year} AS query_year FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {query} NULLS FIRST, {year} NULLS FIRST) AS nr FROM {name} WHERE {number} % 20 = 0 OR {number} % 40 = 1) WHERE nr = 1)"
+
+
+_ROWS_SQL = f"rows_ AS {_row_queries_sql('title_basics', 'tconst', 'primarytitle', 'startyear')}, asked AS (SELECT *, {_phonetic('b')} AS k FROM (SELECT *, {_strip('query')} AS b FROM rows_))"
+
+
+@query(f"""WITH {_ROWS_SQL}, {_TITLES_SQL}, {_AKAS_SQL},
+    texts AS (SELECT DISTINCT tconst AS id, primarytitle AS t, t_soundex FROM titles UNION SELECT titleid, title, t_soundex FROM akas),
+    scored AS (SELECT query_id, id, CASE WHEN lower(t) = lower(query) THEN 1.0 ELSE CAST(least(length(t), length(query)) AS DOUBLE) / greatest(length(t), length(query)) END AS score FROM asked JOIN texts ON k = t_soundex)
+    SELECT query_id, id, max(score) AS score FROM scored WHERE score >= 0.6 GROUP BY 1, 2""")
+def batch_fuzzy_join(spark: SparkSession, folder: str) -> DataFrame:
+    """A twentieth of all titles against all titles and alternate titles by key, with the stand-in score; ``no_key_exact`` has the texts without a key."""
+    titles = table(spark, folder, "title_basics").select(F.col("tconst").alias("id"), F.col("primarytitle").alias("t"))
+    akas = table(spark, folder, "title_akas").select(F.col("titleid").alias("id"), F.col("title").alias("t"))
+    rows = search.with_title_key(titles.unionByName(akas).distinct(), "t")
+    hits = search.candidates(_asked_titles(spark, folder), rows, "t", "id").filter("t_soundex is not null")
+    lengths = F.least(F.length("t"), F.length("query")).cast("double") / F.greatest(F.length("t"), F.length("query"))
+    scored = hits.withColumn("score", F.when(F.lower("t") == F.lower("query"), 1.0).otherwise(lengths)).filter("score >= 0.6")
+    return scored.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
+@query(f"""WITH {_ROWS_SQL}, {_TITLES_SQL}, hits AS (SELECT DISTINCT query_id, query_year, tconst, startyear FROM asked JOIN titles ON k = t_soundex AND lower(primarytitle) = lower(query)),
+    met AS (SELECT *, bool_or(coalesce(query_year = startyear, false)) OVER (PARTITION BY query_id) AS any_met FROM hits)
+    SELECT query_id, tconst, startyear FROM met WHERE NOT any_met OR startyear = query_year""")
+def year_relax(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles with the text of a twentieth of all titles: those of its year if there are any, else of all years."""
+    rows = search.with_title_key(table(spark, folder, "title_basics").select("tconst", "primarytitle", "startyear").distinct(), "primarytitle")
+    hits = search.candidates(_asked_titles(spark, folder), rows, "primarytitle", "tconst").filter("t_soundex is not null").filter(F.lower("primarytitle") == F.lower("query"))
+    return search.year_relaxed(hits.withColumn("title_year", F.col("startyear"))).select("query_id", "tconst", "startyear").distinct()
+
+
+@query(f"""WITH rows_ AS {_row_queries_sql("name_basics", "nconst", "primaryname", "NULL")},
+    both_ AS (SELECT 'q' || query_id AS id, query AS t FROM rows_ UNION ALL SELECT DISTINCT nconst, primaryname FROM name_basics),
+    {_canonical_names("both_", "t", "id")},
+    coded AS (SELECT DISTINCT id, k FROM (SELECT id, unnest([{_phonetic("name")}, {_phonetic("canonical")}, {_phonetic("string_split(canonical, ', ')[1]")}]) AS k FROM named WHERE name <> '') WHERE k IS NOT NULL)
+    SELECT DISTINCT substr(a.id, 2) AS query_id, b.id AS nconst FROM coded a JOIN coded b ON a.k = b.k WHERE a.id LIKE 'q%' AND b.id NOT LIKE 'q%'""")
+def batch_person_block(spark: SparkSession, folder: str) -> DataFrame:
+    """A twentieth of all persons against all persons by any of three keys."""
+    names = table(spark, folder, "name_basics")
+    asked = search._all_keys(search.with_name_keys(search.row_queries(names, "nconst", "primaryname"), "query"), ["query_id"])
+    known = search._all_keys(search.with_name_keys(names.select("nconst", "primaryname").distinct()), ["nconst"])
+    return asked.join(known, "key").select("query_id", "nconst").distinct()
+
+
 # ---------------------------------------------------------------- series and episodes
 
 _EPISODES = "episodes AS (SELECT DISTINCT tconst, parenttconst, seasonnumber, episodenumber FROM title_episode)"

@@ -46,6 +46,24 @@ def test_filters(spark):
     assert search.title_filter() is None
 
 
+def test_queries_of_a_table(spark):
+    rows = [("tt0000020", "A", 2000), ("tt0000020", "A", 2000), ("tt0000040", None, None), ("tt0000041", "B", None), ("tt0000021", "C", 1), ("tt0000039", "D", 1), ("x", "E", 1)]
+    got = search.row_queries(spark.createDataFrame(rows, "tconst string, primarytitle string, startyear int"), "tconst", "primarytitle", "startyear")
+    assert sorted(tuple(r) for r in got.collect()) == [("tt0000020", "A", 2000), ("tt0000040", None, None), ("tt0000041", "B", None)]
+
+
+def test_ranked_searches_ask_a_twentieth_of_the_tables(spark):
+    from conftest import DATA
+
+    from reelgrid.plans import catalogue
+
+    for name, table, key in (("title_search_ranked", "title_basics", "tconst"), ("person_search_ranked", "name_basics", "nconst")):
+        ids = {r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).distinct().collect()}
+        wanted = {i for i in ids if int(i[2:]) % 20 == 0 or int(i[2:]) % 40 == 1}
+        asked = {r[0] for r in catalogue.QUERIES[name](spark, DATA).select("query_id").distinct().collect()}
+        assert asked <= wanted and len(asked) >= 0.8 * len(wanted) > 0
+
+
 def test_people(spark):
     people = spark.createDataFrame([(1, "Fred Astaire"), (2, "Astaire Fred"), (3, "Freda Astair"), (4, "Nobody"), (5, None), (6, "!!!")], "nconst long, primaryname string")
     run = lambda q: [r["nconst"] for r in search.search_people(spark.createDataFrame([(0, q)], "query_id int, query string"), people).orderBy("rank").collect()]
