@@ -10,7 +10,7 @@ Persons: the larger of ratio(query, name) + 0.1 and the ratio of the canonical f
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,7 +24,7 @@ from reelgrid.schema import KINDS
 
 #: Weights of kinds among equal scores; other kinds weigh nothing.
 KIND_WEIGHT = {"movie": 6, "tv movie": 5, "tv series": 4, "tv mini series": 4, "tv special": 3, "tv short": 2, "short": 1, "video": 1}
-#: Fixed value: rows compared as they are, per query, where there is no key.
+#: Fixed value: titles compared as they are, per query, where there is no key.
 EXACT_ROWS = 100
 EPISODE_KINDS = ("episode", "tvEpisode")
 DEFAULT_RESULTS = 20
@@ -79,12 +79,17 @@ def title_filter(kinds: Iterable[str] | None = None, episodes: bool = False, adu
     return out
 
 
-def candidates(queries: DataFrame, rows: DataFrame, title: str, key: str) -> DataFrame:
-    """Pairs of (query_id, query, ...) and rows with the same phonetic key, or without one the same text (EXACT_ROWS each)."""
+def candidates(queries: DataFrame, rows: DataFrame, title: str, key: str, joined: Callable[[DataFrame], DataFrame] = lambda hits: hits, year: str | None = None) -> DataFrame:
+    """Pairs of (query_id, query, ...) and rows with the same phonetic key, or without one the same text (EXACT_ROWS ids each).
+
+    ``joined`` adds to the pairs what filters them, before they are bounded. If ``year`` names a column, ids of the query's
+    year come first. An id counts once, however many of its rows have the text.
+    """
     asked = queries.withColumn("query_key", keys.title_key(F.col("query")))
-    keyed = asked.filter("query_key is not null").join(rows, F.col("query_key") == F.col("t_soundex"))
-    bare = asked.filter("query_key is null").join(rows.filter("t_soundex is null"), F.col("query") == F.col(title))
-    few = bare.withColumn("__nr", F.row_number().over(W.partitionBy("query_id").orderBy(key))).filter(F.col("__nr") <= EXACT_ROWS).drop("__nr")
+    keyed = joined(asked.filter("query_key is not null").join(rows, F.col("query_key") == F.col("t_soundex")))
+    bare = joined(asked.filter("query_key is null").join(rows.filter("t_soundex is null"), F.col("query") == F.col(title)))
+    order = [F.coalesce(F.col(year) == F.col("query_year"), F.lit(False)).desc()] if year else []
+    few = bare.withColumn("__nr", F.dense_rank().over(W.partitionBy("query_id").orderBy(*order, key))).filter(F.col("__nr") <= EXACT_ROWS).drop("__nr")
     return keyed.unionByName(few)
 
 
@@ -96,14 +101,13 @@ def search_titles(queries: DataFrame, titles: DataFrame, akas: DataFrame | None
     year, then by id.
     """
     rows = with_title_key(titles if only is None else titles.filter(only), "primarytitle")
-    hits = candidates(queries, rows.select("tconst", "primarytitle", "titletype", "startyear", "t_soundex"), "primarytitle", "tconst")
+    hits = candidates(queries, rows.select("tconst", "primarytitle", "titletype", "startyear", "t_soundex"), "primarytitle", "tconst", year="startyear")
     hits = hits.select("query_id", "query", "query_year", "tconst", F.col("primarytitle").alias("title"), F.col("titletype").alias("kind"), F.col("startyear").alias("year"), F.col("startyear").alias("title_year"), F.lit(0).alias("source"), F.lit(0).alias("ordering"))
     if akas is not None:
         others = with_title_key(akas, "title").select(F.col("titleid").alias("tconst"), F.col("title").alias("aka"), "ordering", "t_soundex")
         # a wished year or a filter belongs to the title, so only then the titles are joined
-        found = candidates(queries, others, "aka", "tconst")
-        years = titles if only is None else titles.filter(only)
-        joined = found.join(years.select("tconst", F.col("startyear").alias("title_year")), "tconst", "left" if only is None else "inner")
+        years = (titles if only is None else titles.filter(only)).select("tconst", F.col("startyear").alias("title_year"))
+        joined = candidates(queries, others, "aka", "tconst", lambda found: found.join(years, "tconst", "left" if only is None else "inner"), year="title_year")
         more = joined.select("query_id", "query", "query_year", "tconst", F.col("aka").alias("title"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("year"), "title_year", F.lit(1).alias("source"), F.col("ordering").cast("int").alias("ordering"))
         hits = hits.unionByName(more)
     stripped = hits.withColumns({"bare_q": keys.strip_article(F.col("query")), "bare_t": keys.strip_article(F.col("title"))})

@@ -38,6 +38,17 @@ def test_titles_without_a_key(spark):
     assert len(find(spark, "123", rows, akas, results=5)) == 5 and len(find(spark, "!!!", rows, akas, results=500)) == 100
 
 
+def test_bound_without_a_key_comes_after_year_filter_and_title(spark):
+    rows = [(k, "!!!", "movie", 2025, False) for k in range(1, 151)] + [(900, "!!!", "movie", 2026, False), (901, "!!!", "episode", 2025, False)]
+    assert find(spark, "!!! (2026)", rows) == [900] and find(spark, "!!!", rows, only=search.title_filter(episodes=True)) == [901]
+    named = [(k, "Other", kind, year, False) for k, _, kind, year, _ in rows]
+    akas = [(k, 1, "東京") for k, *_ in rows]
+    assert find(spark, "東京 (2026)", named, akas) == [900] and find(spark, "東京", named, akas, only=search.title_filter(episodes=True)) == [901]
+    hot = [(1, k, "東京") for k in range(150)] + [(2, 1, "東京")]
+    assert find(spark, "東京", named, hot) == [1, 2]
+    assert len(find(spark, "東京", named, akas, results=500)) == 100
+
+
 def test_filters(spark):
     rows = [(1, "Matrix", "movie", 1, True), (2, "Matrix", "episode", 1, False), (3, "Matrix", "tv series", 1, False)]
     assert find(spark, "Matrix", rows, only=search.title_filter(adult=True)) == [1]
