@@ -5,10 +5,11 @@ Method. Three kinds of evidence are gathered per document, all with built-in exp
 * Placeholder detectors: unfilled fields of common template languages, anywhere in the text.
 * Filler detectors: paragraphs of dummy Latin, of one phrase or letter repeated, of keyboard runs, or of drafting notes.
 * Response comparison: the slug and title terms (site furniture such as headings, breadcrumbs, title bars, footers and
-  request ids, and the document's own title from the catalogue) are set apart from the body terms. A short body that says
-  nothing but a status, refusal or script notice is a response page. A body that no detector knows is flagged as well if it
-  is short, stands under site furniture, shares no term with its own title (mismatch) and recurs, numbers and title
-  masked, in several documents of several sources (duplicates and host evidence).
+  request ids, and the document's own title from the catalogue) are set apart from the body terms. A body of any
+  length that says nothing but statuses, refusals or script notices is a response page; one that mixes them with other short
+  lines only if it is short and under furniture. A body that no detector knows is flagged as well if it stands under site
+  furniture, shares no term with its own title (mismatch) and recurs, numbers masked, in several documents of several
+  sources, or in a share of one source (duplicates and host evidence).
 
 Texts that only speak about such things are sentences of their own: they stand without furniture, are no status line as a
 whole, and differ from each other beyond numbers and titles.
@@ -82,8 +83,8 @@ NOTICES = (
     r"(?:error|fehler|erreur|errore|erro|fout)\s*[45]\d\d\s*:.{1,160}",
     r"interner serverfehler.{0,40}|erreur interne du serveur.{0,40}|error interno del servidor.{0,40}|errore interno del server.{0,40}",
     r"error establishing a database connection\.?",
-    r"fatal error: .{1,200}|warning: .{1,200} on line \d+|traceback \(most recent call last\):|file \".{1,200}\", line \d+.{0,80}|return \w+\[.{1,80}\]|[\w.]{0,80}(?:error|exception)(?:: .{0,200})?|at [\w.$<>]{1,160}\([\w.$]{1,80}(?::\d+)?\)",
-    r"\{\"(?:status|code|error)\":.{1,300}\}",
+    r"fatal error: .{1,200}|warning: .+ on line \d+|traceback \(most recent call last\):|file \".{1,200}\", line \d+.{0,80}|return \w+\[.{1,80}\]|[\w.]{0,80}(?:error|exception)(?:: .{0,200})?|at [\w.$<>]{1,160}\([\w.$]{1,80}(?::\d+)?\)",
+    r"\{\"(?:status|code|error)\":.+\}",
     r"the server (?:met|encountered) an? .{1,160}|the upstream .{1,120}|gateway time-?out\b.{0,120}",
     r"(?:we|the site|this site|our site) (?:are|is) (?:currently )?down for maintenance\b.{0,160}",
     r"sorry, (?:but )?this (?:content|page|video|title|item) is not available\b.{0,120}|this (?:content|page|video|title) is not available in your .{0,80}",
@@ -104,7 +105,7 @@ NOTICES = (
 )
 NOTICE = "(?iu)" + "|".join(f"(?:{p})" for p in NOTICES)
 
-#: A response body is at most so many lines and characters; a real text that quotes a status is longer or no notice.
+#: A response body that is not made of notices alone is at most so many lines and characters; a real text that quotes a status is longer.
 MOST_LINES, MOST_CHARS = 8, 600
 
 
@@ -123,25 +124,24 @@ def matches(text: Column, patterns: tuple[str, ...]) -> Column:
     return found
 
 
-def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hosts: int = 2) -> DataFrame:
+def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hosts: int = 2, least_alone: int = 20, least_share: float = 0.0001) -> DataFrame:
     """(doc_id, evidence) of the flagged documents; evidence is placeholder, filler, notice or recurring.
 
-    ``docs`` has doc_id, text, source and tconst; ``titles`` (tconst, title) gives the titles that documents belong to.
+    ``docs`` has doc_id, text, source and tconst; ``titles`` (tconst, title) gives the titles that documents belong to. A body recurs
+    if it has ``least_copies`` in ``least_hosts`` sources, or in one source ``least_alone`` and ``least_share`` of its documents.
     """
     real = docs.select("doc_id", "text", "source", "tconst").filter(F.col("text").rlike(r"\S"))
     marked = real.withColumns({"placeholder": unfilled(F.col("text")), "filler": matches(F.col("text"), FILLER)})
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\u00a0"))), lambda x: x != "")
-    short = (F.length("text") <= MOST_CHARS + 700) & (F.size(F.split("text", "\n")) <= MOST_LINES + 8)
-    judged = marked.withColumn("lines", F.when(short, lines)).withColumns({
-        "body": F.filter("lines", lambda x: ~x.rlike(f"^(?:{FURNITURE})$")),
-        "furniture": F.filter("lines", lambda x: x.rlike(f"^(?:{FURNITURE})$")),
-    })
+    short = (F.length("text") <= MOST_CHARS + 700) & (F.size("lines") <= MOST_LINES + 8) & (F.size("body") <= MOST_LINES)
+    judged = marked.withColumn("lines", lines).withColumn("body", F.filter("lines", lambda x: ~x.rlike(f"^(?:{FURNITURE})$")))
     whole = lambda x: x.rlike(f"^(?:{NOTICE})$")
-    notice = (F.size("body") > 0) & (F.size("body") <= MOST_LINES) & F.exists("body", whole) & (F.forall("body", whole) | ((F.size("furniture") > 0) & F.forall("body", lambda x: whole(x) | (F.length(x) <= 60))))
+    framed = (F.size("body") > 0) & (F.size("body") < F.size("lines"))
+    mixed = short & framed & F.exists("body", whole) & F.forall("body", lambda x: whole(x) | (F.length(x) <= 60))
+    notice = (F.size("body") > 0) & (F.forall("body", whole) | mixed)
     sure = judged.withColumn("evidence", F.when(F.col("placeholder"), "placeholder").when(F.col("filler"), "filler").when(notice, "notice"))
-    low = (F.size("furniture") > 0) & (F.size("body") > 0) & (F.size("body") <= MOST_LINES) & (F.length(F.array_join("body", "\n")) <= 200)
     # the texts are read once: what is flagged or open is written, and it is little
-    held = session.cut(sure.filter(F.col("evidence").isNotNull() | F.coalesce(low, F.lit(False))).select("doc_id", "evidence", "source", "tconst", F.when(F.col("evidence").isNull(), F.array_join("body", "\n")).alias("said")), "residue")
+    held = session.cut(sure.filter(F.col("evidence").isNotNull() | framed).select("doc_id", "evidence", "source", "tconst", F.when(F.col("evidence").isNull(), F.array_join("body", "\n")).alias("said")), "residue")
     known = held.filter("evidence is not null").select("doc_id", "evidence")
     open_ = held.filter("evidence is null").select("doc_id", "source", "tconst", "said")
     named = titles.filter("tconst is not null and title is not null").groupBy("tconst").agg(F.min("title").alias("title"))
@@ -149,6 +149,10 @@ def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hos
     compared = open_.join(named, "tconst", "left").withColumn("mismatch", ~F.arrays_overlap(terms(F.col("said")), terms(F.coalesce("title", F.lit("")))))
     shape = F.regexp_replace(F.regexp_replace(F.lower("said"), r"\b[0-9a-f]*\d[0-9a-f]*\b", "0"), r"\s+", " ")
     masked = compared.filter("mismatch").withColumn("shape", F.xxhash64(shape))
-    seen = masked.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("source").alias("hosts")).filter((F.col("n") >= least_copies) & (F.col("hosts") >= least_hosts))
+    size = docs.groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("size"))
+    copies = masked.groupBy("shape", "source").agg(F.count(F.lit(1)).alias("n")).join(size, F.col("source").eqNullSafe(F.col("of")))
+    alone = (F.col("n") >= least_alone) & (F.col("n") >= least_share * F.col("size"))
+    shapes = copies.groupBy("shape").agg(F.sum("n").alias("n"), F.count("source").alias("hosts"), F.max(alone).alias("alone"))
+    seen = shapes.filter(F.col("alone") | ((F.col("n") >= least_copies) & (F.col("hosts") >= least_hosts)))
     recurring = masked.join(seen, "shape", "left_semi").select("doc_id", F.lit("recurring").alias("evidence"))
     return known.unionAll(recurring)

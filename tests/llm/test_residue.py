@@ -41,6 +41,24 @@ def test_unknown_page_by_copies_and_hosts(spark):
     assert set(got) == set(range(6)) and set(got.values()) == {"recurring"}
 
 
+def test_notices_of_any_length(spark):
+    trace = "java.lang.NullPointerException\n" + "\n".join(f"\tat a.b.C.d(C.java:{k})" for k in range(60))
+    warnings = "\n".join(f"Warning: Undefined index x in /srv/a.php on line {k}" for k in range(40))
+    footer = "404 Not Found\n" + "\n".join(f"© {1990 + k} The Catalogue of all films and series" for k in range(40))
+    long_json = '{"status":500,"trace":"' + "x" * 2000 + '"}'
+    real = "Ann wrote to Bob.\n" * 30 + "404 Not Found"
+    assert run(spark, [trace, warnings, footer, long_json, real]) == dict.fromkeys(range(4), "notice")
+
+
+def test_unknown_page_that_is_long_or_of_one_source(spark):
+    long = "Home > Titles > The Film\n" + "\n".join(f"Nothing to see at the moment in hall {k}, call us." for k in range(12))
+    assert run(spark, [long] * 6) == dict.fromkeys(range(6), "recurring")
+    alone = [(k, "Home > Titles > The Film\nNothing to see at the moment.", "s", "tt1", "") for k in range(20)]
+    judge = lambda rows: residue(spark.createDataFrame(rows, DOCS), spark.createDataFrame([("tt1", "The Film")], TITLES), least_share=0.5).count()
+    assert judge(alone) == 20 and judge(alone[1:]) == 0
+    assert judge(alone + [(100 + k, "A quiet evening with Ann.", "s", "tt1", "") for k in range(30)]) == 0
+
+
 def test_long_text_is_read_whole(spark):
     long = "A quiet evening by the river with Ann. " * 30_000
     assert set(run(spark, [long, long + "{{name}}"])) == {1}
