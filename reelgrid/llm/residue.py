@@ -216,7 +216,8 @@ def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hos
 
     ``docs`` has doc_id, text, source and tconst; ``titles`` (tconst, title) gives the titles that documents belong to. A line
     is a site's own if it has ``least_copies`` in ``least_hosts`` sources, or ``least_titles`` under different titles of
-    several sources, or in one source ``least_alone`` and ``least_share`` of its documents.
+    several sources, or in one source ``least_alone`` and ``least_share`` of its documents. A line that names its own title has to
+    do so under different titles, as copies of a real page stand under one.
     """
     real = docs.select("doc_id", "text", "source", "tconst").filter(F.col("text").rlike(r"\S"))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\u00a0"))), lambda x: x != "")
@@ -249,13 +250,13 @@ def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hos
     shape = lambda x: F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(x), r"\b[0-9a-f]*\d[0-9a-f]*\b", "0"), r"\s+", " "))
     # a line of the document's own title or slug is never the site's
     shaped = F.array_distinct(F.transform("said", lambda x: F.when(~F.arrays_overlap(terms(x), F.col("own")), shape(x)).otherwise(F.lit(None).cast("long"))))
-    pages = own.withColumn("shapes", F.when(F.col("framed"), shaped)).select("doc_id", "source", "low", F.coalesce("head", "title", F.lit("")).alias("page"), "shapes")
-    said = pages.select("source", "page", F.explode("shapes").alias("shape")).filter("shape is not null")
+    pages = own.withColumn("shapes", F.when(F.col("framed"), shaped)).select("doc_id", "source", "low", F.coalesce("head", "title", F.lit("")).alias("page"), "shapes", F.exists("said", lambda x: x.contains("\u00a4")).alias("named"))
+    said = pages.select("source", "page", F.explode("shapes").alias("shape"), "named").filter("shape is not null")
     size = docs.groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("size"))
-    per_host = said.groupBy("shape", "source").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("p0"), F.max("page").alias("p1")).join(size, F.col("source").eqNullSafe(F.col("of")))
+    per_host = said.groupBy("shape", "source").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("p0"), F.max("page").alias("p1"), F.max("named").alias("named")).join(size, F.col("source").eqNullSafe(F.col("of")))
     alone = (F.col("n") >= least_alone) & (F.col("n") >= least_share * F.col("size"))
-    shapes = per_host.groupBy("shape").agg(F.sum("n").alias("n"), F.count("source").alias("hosts"), F.max(alone).alias("alone"), (F.min("p0") != F.max("p1")).alias("mixed"))
-    site = shapes.filter(F.col("alone") | ((F.col("hosts") >= least_hosts) & ((F.col("n") >= least_copies) | (F.col("mixed") & (F.col("n") >= least_titles))))).select("shape", F.lit(True).alias("known"))
+    shapes = per_host.groupBy("shape").agg(F.sum("n").alias("n"), F.count("source").alias("hosts"), F.max(alone).alias("alone"), F.max("named").alias("named"), (F.min("p0") != F.max("p1")).alias("mixed"))
+    site = shapes.filter((F.col("alone") & (~F.col("named") | F.col("mixed"))) | ((F.col("hosts") >= least_hosts) & (((F.col("n") >= least_copies) & ~F.col("named")) | (F.col("mixed") & (F.col("n") >= least_titles))))).select("shape", F.lit(True).alias("known"))
     # a page is open as long as one of its lines is not the site's
     unknown = pages.select("doc_id", F.explode("shapes").alias("shape")).join(site, "shape", "left").groupBy("doc_id").agg(F.min(F.col("known").isNotNull()).alias("recurring"))
     weighed = pages.select("doc_id", "low").join(unknown, "doc_id", "left")
