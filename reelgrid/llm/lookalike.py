@@ -1,64 +1,150 @@
 """Visually identical text with different characters (problem 5).
 
-Method. Texts are first mapped: look-alike letters, full-width forms and special blanks to their plain counterparts,
-invisible characters to nothing. The mapped values are then grouped in SQL under the accent- and case-sensitive Unicode
-collation ``UNICODE``, under which composed and combining accents are equal; each class gets a deterministic canonical
-member, which is joined back to the texts.
+Method. Texts are mapped first, then the mapped values are grouped in SQL under the accent- and case-sensitive Unicode collation
+``UNICODE``; each class gets a deterministic canonical member, which is joined back to the texts.
 
-Only distinct mapped values meet the collation. Those of printable ASCII alone are equal under it only if they are the
-same bytes (nothing in them can be ignored or composed, and all invisible characters are gone from the others), so they
-are grouped as they are and the collation's sort handles the rest.
+The mapping is built by rules, not listed: full-width, half-width, font, no-break and ligature forms from the Unicode character
+database, letters that look alike from the confusables relation of the ICU library that Spark ships (each to the member of
+its class with the same case, a Latin one where there is any), blanks to an ordinary blank, invisible and control characters
+to nothing. Texts are decomposed before and composed after it, which puts combining marks into canonical order and reaches the base
+of composed letters. Spark has no normal forms, so this step is an Arrow UDF; texts of printable ASCII are their
+own mapped form and are not sent to it.
 
 The canonical member of a class is the one that equals its mapped form, else the shortest, else the first by code point.
 
-Defined results. Null texts are in no class. Case, visible accents, spelling, visible punctuation (dashes too) and the
-presence of a blank make texts different. A mark on a letter of another script counts as the same mark on its look-alike.
-Texts are used whole. Namesakes with the same characters give no pair. Sequences of several combining marks are compared
-in the order written.
+Defined results. Null texts are in no class. Case, visible accents (the dot of an i too), spelling, visible punctuation (dashes
+but for the hyphen's own forms) and the presence of a blank make texts different. A mark on a letter of another script counts
+as the same mark on its look-alike. Texts are used whole. Namesakes with the same characters give no pair.
 """
 
 from __future__ import annotations
 
+import glob
+import os
+import struct
+import unicodedata
+import zipfile
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cyrillic and Greek letters that look like the Latin letter at the same place below them.
-CYRILLIC = "\u0410\u0412\u0415\u0405\u0406\u0408\u041a\u041c\u041d\u041e\u0420\u0421\u0422\u0423\u0425\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0455\u0456\u0458\u04bb\u0501\u051b\u051d\u04cf\u0401\u0451\u0407\u0457"
-CYRILLIC_AS = "ABESIJKMHOPCTYXaeopcyxsijhdqwl\u00cb\u00eb\u00cf\u00ef"
-GREEK = "\u0391\u0392\u0395\u0396\u0397\u0399\u039a\u039c\u039d\u039f\u03a1\u03a4\u03a5\u03a7\u03bf\u03bd\u03c1\u03cc\u038c\u0386\u0388\u038a\u038e"
-GREEK_AS = "ABEZHIKMNOPTYXovp\u00f3\u00d3\u00c1\u00c9\u00cd\u00dd"
-#: Blanks that show as an ordinary one.
-BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-#: Full-width forms of the printable ASCII characters.
-WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
-WIDE_AS = "".join(map(chr, range(0x21, 0x7F)))
-#: Characters without width or effect on what is seen.
-INVISIBLE = "[\\p{Cf}\\u034f\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180d\\ufe00-\\ufe0f]+"
-#: The same in the notation of RE2.
-INVISIBLE_RE2 = r"[\p{Cf}\x{034f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180d}\x{fe00}-\x{fe0f}]+"
 UNICODE = "UNICODE"
+#: Characters without width that are not of the categories Cf and Cc.
+_INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+#: The hyphen's own forms; a small i without its dot and a long s are seen as such.
+_HYPHENS, _SEEN = (0x2010, 0x2011), (0x0131, 0x017F)
+_FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
+
+
+def icu_jar() -> str:
+    """The ICU library among Spark's own."""
+    import pyspark
+
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
+    found = sorted(glob.glob(f"{home}/jars/icu4j-*.jar")) or sorted(glob.glob(f"{os.path.dirname(pyspark.__file__)}/jars/icu4j-*.jar"))
+    if not found:
+        raise FileNotFoundError("no ICU library among Spark's jars")
+    return found[-1]
+
+
+@lru_cache(1)
+def confusables() -> dict[int, str]:
+    """Prototype of each character that looks like another one, as ICU's data file has it (keys, then indexes into a string table)."""
+    with zipfile.ZipFile(icu_jar()) as jar:
+        name = next(n for n in jar.namelist() if n.endswith("/confusables.cfu"))
+        data = jar.read(name)
+    data = data[struct.unpack_from(">H", data)[0] :]
+    _, _, _, keys, n, index, _, table, length = struct.unpack_from(">9i", data)
+    strings = data[table : table + 2 * length]
+    out = {}
+    for k in range(n):
+        key, at = struct.unpack_from(">i", data, keys + 4 * k)[0], struct.unpack_from(">H", data, index + 2 * k)[0]
+        size = (key >> 24 & 0xFF) + 1
+        out[key & 0xFFFFFF] = chr(at) if size == 1 else strings[2 * at : 2 * (at + size)].decode("utf-16-be")
+    return out
+
+
+def _form(c: str) -> str | None:
+    """What a width, font, no-break or ligature form stands for."""
+    kind = unicodedata.decomposition(c).partition(" ")[0]
+    plain = unicodedata.normalize("NFKC", c)
+    if kind in _FORMS or (kind == "<compat>" and plain.isascii() and not plain.startswith(" ")):
+        return plain
+    return None
+
+
+@lru_cache(1)
+def mapping() -> dict[int, str]:
+    """What each character is shown as, where it is not itself; keys are decomposed characters and forms."""
+    alike, out = confusables(), {}
+    looks: dict[str, list[str]] = {}
+    for a in map(chr, range(0x21, 0x7F)):
+        looks.setdefault(alike.get(ord(a), a), []).append(a)
+    for code in range(0x110000):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind in ("Cn", "Co", "Cs") or 0x20 <= code < 0x7F or code in _SEEN:
+            continue
+        if kind == "Cf" or code in _INVISIBLE or (kind == "Cc" and not c.isspace()):
+            out[code] = ""
+        elif kind == "Zs" or kind in ("Zl", "Zp") or c.isspace():
+            out[code] = " "
+        elif code in _HYPHENS:
+            out[code] = "-"
+        elif (form := _form(c)) is not None:
+            out[code] = form
+        elif kind in ("Lu", "Ll", "Lo") and (proto := alike.get(code)):
+            same = [a for a in looks.get(proto, ()) if unicodedata.category(a) == kind]
+            if same:
+                out[code] = same[0]
+            elif len(proto) == 1 and unicodedata.category(proto) == kind and ord(proto) not in _SEEN:
+                out[code] = proto
+    # letters that are prototypes themselves may share their look with a letter of ASCII by another way
+    return {code: "".join(out.get(ord(x), x) for x in unicodedata.normalize("NFD", to)) for code, to in out.items()}
+
+
+@lru_cache(1)
+def composed_mapping() -> dict[str, str]:
+    """``mapping`` with composed characters too, for SQL that cannot decompose."""
+    table = mapping()
+    out = {chr(code): unicodedata.normalize("NFC", to) for code, to in table.items()}
+    for code in range(0x80, 0x30000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if chr(code) not in out and parts != chr(code) and not 0xAC00 <= code <= 0xD7A3:
+            to = unicodedata.normalize("NFC", parts.translate(table))
+            if to != chr(code):
+                out[chr(code)] = to
+    return out
+
+
+def shown(text: str, table: dict[int, str]) -> str:
+    """The mapped form of one text."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(table))
 
 
-def _pairs() -> tuple[str, str]:
-    return CYRILLIC + GREEK + BLANKS + WIDE, CYRILLIC_AS + GREEK_AS + " " * len(BLANKS) + WIDE_AS
+def mapped(text: Column) -> Column:
+    """The text with look-alikes, widths, blanks and invisible characters made plain, composed and in canonical order."""
 
+    table = mapping()  # some thousand entries, which go along with the function
 
-def mapped(text: Column) -> Column:
-    """The text with look-alikes, full-width forms, blanks and invisible characters made plain; accents stay as written."""
-    return F.translate(F.regexp_replace(text, INVISIBLE, ""), *_pairs())
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else shown(t, table))
+
+    plain = text.rlike("^[\\x20-\\x7e]*$")
+    return F.coalesce(run(F.when(~plain, text)), text)
 
 
 def classes(texts: DataFrame, text: str = "text") -> DataFrame:
     """(text, canonical, n_forms) of every distinct non-null text; n_forms is the number of its class's distinct texts."""
     forms = texts.select(F.col(f"`{text}`").alias("text")).filter("text is not null").distinct().withColumn("mapped", mapped(F.col("text")))
     best = F.min(F.struct(F.col("text") != F.col("mapped"), F.length("text").alias("len"), "text"))
-    same = forms.groupBy("mapped").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
-    plain = F.col("mapped").rlike("^[\\x20-\\x7e]*$")
-    ascii_classes = same.filter(plain).select("mapped", F.col("best.text").alias("canonical"), F.col("n").alias("n_forms"))
-    rest = same.filter(~plain).withColumn("key", F.expr(f"collate(mapped, '{UNICODE}')"))
-    grouped = rest.groupBy("key").agg(F.sum("n").alias("n_forms"), F.min("best").alias("top")).select("key", "n_forms", F.col("top.text").alias("canonical"))
-    other = rest.select("mapped", "key").join(grouped, "key").select("mapped", "canonical", "n_forms")
-    return forms.join(ascii_classes.unionAll(other), "mapped").select("text", "canonical", "n_forms")
+    same = forms.groupBy("mapped").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).withColumn("key", F.expr(f"collate(mapped, '{UNICODE}')"))
+    grouped = same.groupBy("key").agg(F.sum("n").alias("n_forms"), F.min("best").alias("top")).select("key", "n_forms", F.col("top.text").alias("canonical"))
+    known = same.select("mapped", "key").join(grouped, "key").select("mapped", "canonical", "n_forms")
+    return forms.join(known, "mapped").select("text", "canonical", "n_forms")
 
 
 def variants(classed: DataFrame) -> DataFrame:
@@ -66,22 +152,25 @@ def variants(classed: DataFrame) -> DataFrame:
     return classed.filter(F.col("n_forms") > 1).select("text", "canonical")
 
 
-def same_looking(records: DataFrame, varied: DataFrame) -> DataFrame:
-    """(key_a, key_b) of (rec_key, text) records whose texts differ but look the same, each pair once, key_a < key_b.
+def members(records: DataFrame, varied: DataFrame) -> DataFrame:
+    """The rows of ``records`` whose text is in a class of different texts, with its ``canonical``; one row each, no pairs."""
+    return records.join(varied, "text")
+
+
+def same_looking(found: DataFrame) -> DataFrame:
+    """(key_a, key_b) of ``members`` (rec_key, text, canonical) whose texts differ but look the same, each pair once, key_a < key_b.
 
-    Pairs are made between different texts of a class first and only then spread to the records, so copies of one text
-    never meet each other. ``varied`` is best a written table, as it is read several times.
+    Copies of one text never meet each other; what is emitted are the pairs themselves.
     """
-    met = varied.select(F.col("text").alias("text_a"), "canonical").join(varied.select(F.col("text").alias("text_b"), "canonical"), "canonical").filter("text_a < text_b").select("text_a", "text_b")
-    mine = records.filter("rec_key is not null")
-    a = mine.select(F.col("text").alias("text_a"), F.col("rec_key").alias("a"))
-    b = mine.select(F.col("text").alias("text_b"), F.col("rec_key").alias("b"))
-    both = a.join(met, "text_a").join(b, "text_b").filter("a <> b")
+    mine = found.filter("rec_key is not null").select("rec_key", "text", "canonical").distinct()
+    a = mine.select(F.col("text").alias("text_a"), F.col("rec_key").alias("a"), "canonical")
+    b = mine.select(F.col("text").alias("text_b"), F.col("rec_key").alias("b"), "canonical")
+    both = a.join(b, "canonical").filter("text_a < text_b and a <> b")
     return both.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
 
 
-def same_looking_children(parents: DataFrame, children: DataFrame, varied: DataFrame) -> DataFrame:
-    """(key_a, key_b): parent (rec_key, text) and child (parent_key, rec_key, text) whose texts differ but look the same."""
-    top = parents.join(varied, "text").select(F.col("rec_key").alias("parent_key"), F.col("text").alias("parent_text"), "canonical").distinct()
-    low = children.join(varied, "text").select("parent_key", "rec_key", "text", "canonical").distinct()
+def same_looking_children(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """(key_a, key_b): ``members`` of parents (rec_key) and of children (parent_key, rec_key) whose texts differ but look the same."""
+    top = parents.select(F.col("rec_key").alias("parent_key"), F.col("text").alias("parent_text"), "canonical").distinct()
+    low = children.select("parent_key", "rec_key", "text", "canonical").distinct()
     return low.join(top, ["parent_key", "canonical"]).filter("text <> parent_text").select(F.col("parent_key").alias("key_a"), F.col("rec_key").alias("key_b")).distinct()

@@ -62,12 +62,26 @@ def _classes(texts: dict[str, DataFrame]) -> DataFrame:
     return lookalike.classes(texts["name"].select("text").unionAll(texts["title"].select("text")).unionAll(texts["aka"].select("text")))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+def _members(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, parent_key, rec_key, text, canonical) of the records whose text is in a class of different texts, written once."""
     texts = _texts(spark, folder)
     varied = session.cut(lookalike.variants(_classes(texts)), "variants")
-    found = [lookalike.same_looking(texts[s], varied).select(F.lit(s).alias("src"), "key_a", "key_b") for s in ("name", "title")]
-    found.append(lookalike.same_looking_children(texts["title"], texts["aka"], varied).select(F.lit("aka").alias("src"), "key_a", "key_b"))
-    return found[0].unionAll(found[1]).unionAll(found[2])
+    no_parent = F.lit(None).cast("string").alias("parent_key")
+    records = [df.select(F.lit(src).alias("src"), F.col("parent_key") if src == "aka" else no_parent, "rec_key", "text") for src, df in texts.items()]
+    return session.cut(lookalike.members(records[0].unionAll(records[1]).unionAll(records[2]), varied), "members")
+
+
+def p5_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record that looks like another one but is not the same characters, with the canonical text of its class."""
+    return _members(spark, folder).select("src", "rec_key", "text", "canonical").distinct()
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = _members(spark, folder)
+    one = lambda src: found.filter(F.col("src") == src)
+    pairs = [lookalike.same_looking(one(s)).select(F.lit(s).alias("src"), "key_a", "key_b") for s in ("name", "title")]
+    pairs.append(lookalike.same_looking_children(one("title"), one("aka")).select(F.lit("aka").alias("src"), "key_a", "key_b"))
+    return pairs[0].unionAll(pairs[1]).unionAll(pairs[2])
 
 
 def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,18 +89,26 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return _classes(_texts(spark, folder))
 
 
-def _p5_sql(found: bool) -> str:
-    before, after = lookalike._pairs()
+def _p5_sql(what: str) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    form = lambda c: f"nfc_normalize(translate(regexp_replace({c}, '{lookalike.INVISIBLE_RE2}', '', 'g'), {quoted(before)}, {quoted(after)}))"
+    # characters that SQL texts cannot hold as they are
+    literal = lambda c: f"chr({ord(c)})" if ord(c) < 32 or ord(c) in (0x7F, 0x85) else quoted(c)
+    table = lookalike.composed_mapping()
+    known = f"MAP {{{', '.join(f'{literal(a)}: {quoted(b)}' for a, b in table.items())}}}"
+    raw = lambda c: f"CASE WHEN regexp_full_match({c}, '[ -~]*') THEN {c} ELSE array_to_string(list_transform(string_split({c}, ''), lambda x: CASE WHEN x BETWEEN ' ' AND '~' THEN x ELSE coalesce(list_extract(map_extract(k.m, x), 1), x) END), '') END"
+    form = lambda c: f"nfc_normalize({raw(f'nfc_normalize({c})')})"
     texts = f"""
-    WITH n AS (SELECT DISTINCT nconst AS k, primaryname AS t, {form("primaryname")} AS f FROM name_basics WHERE primaryname IS NOT NULL),
-    b AS (SELECT DISTINCT tconst AS k, primarytitle AS t, {form("primarytitle")} AS f FROM title_basics WHERE primarytitle IS NOT NULL),
-    a AS (SELECT DISTINCT titleid AS p, titleid || '#' || CAST(ordering AS VARCHAR) AS k, title AS t, {form("title")} AS f FROM title_akas WHERE title IS NOT NULL)"""
-    if not found:
-        plain = f"translate(regexp_replace(t, '{lookalike.INVISIBLE_RE2}', '', 'g'), {quoted(before)}, {quoted(after)})"
-        return f"""{texts}, u AS (SELECT t, f FROM n UNION SELECT t, f FROM b UNION SELECT t, f FROM a)
-    SELECT t AS text, first_value(t) OVER (PARTITION BY f ORDER BY t <> {plain}, length(t), t) AS canonical, count(*) OVER (PARTITION BY f) AS n_forms FROM u"""
+    WITH k AS (SELECT {known} AS m),
+    n AS (SELECT DISTINCT nconst AS k, primaryname AS t, {form("primaryname")} AS f FROM name_basics, k WHERE primaryname IS NOT NULL),
+    b AS (SELECT DISTINCT tconst AS k, primarytitle AS t, {form("primarytitle")} AS f FROM title_basics, k WHERE primarytitle IS NOT NULL),
+    a AS (SELECT DISTINCT titleid AS p, titleid || '#' || CAST(ordering AS VARCHAR) AS k, title AS t, {form("title")} AS f FROM title_akas, k WHERE title IS NOT NULL)"""
+    if what != "found":
+        texts = f"""{texts}, u AS (SELECT t, f FROM n UNION SELECT t, f FROM b UNION SELECT t, f FROM a),
+    c AS (SELECT t AS text, first_value(t) OVER (PARTITION BY f ORDER BY t <> f, length(t), t) AS canonical, count(*) OVER (PARTITION BY f) AS n_forms FROM u)"""
+        if what == "forms":
+            return f"{texts} SELECT text, canonical, n_forms FROM c"
+        return f"""{texts}, r AS (SELECT 'name' AS src, k, t FROM n UNION SELECT 'title', k, t FROM b UNION SELECT 'aka', k, t FROM a)
+    SELECT src, k AS rec_key, text, canonical FROM r JOIN c ON t = text WHERE n_forms > 1"""
     pair = lambda src, v: f"SELECT DISTINCT '{src}' AS src, x.k AS key_a, y.k AS key_b FROM {v} x JOIN {v} y ON x.f = y.f AND x.k < y.k AND x.t <> y.t"
     return f"""{texts} {pair("name", "n")} UNION ALL {pair("title", "b")}
     UNION ALL SELECT DISTINCT 'aka' AS src, b.k AS key_a, a.k AS key_b FROM a JOIN b ON a.p = b.k AND a.f = b.f AND a.t <> b.t"""
@@ -158,7 +180,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p7_best": p7_best,
+    "p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_members": p5_members, "p5_forms": p5_forms, "p7_found": p7_found, "p7_best": p7_best,
     "p8_ids": p8_ids, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_evidence": p10_evidence,
 }
 
@@ -166,8 +188,9 @@ _LIFT = "shared::DOUBLE * baskets / (n_a::DOUBLE * n_b)"
 SQL = {
     "p2_found": _p2_sql("item_kind, item_a, item_b"),
     "p2_pairs": _p2_sql(f"item_kind, item_a, item_b, shared, n_a, n_b, baskets, {_LIFT} AS lift, log2({_LIFT}) AS pmi"),
-    "p5_found": _p5_sql(True),
-    "p5_forms": _p5_sql(False),
+    "p5_found": _p5_sql("found"),
+    "p5_members": _p5_sql("members"),
+    "p5_forms": _p5_sql("forms"),
     "p7_found": _P7.format("parenttconst, rnk, tconst"),
     "p7_best": _P7.format("parenttconst, rnk, tconst, averagerating, numvotes"),
 }
