@@ -1,22 +1,25 @@
 """Mixing sources to target weights (problem 9).
 
-Method: entropy balancing. Every document d of source s with t tokens gets a rate r(d) = exp(a_s + b_s * t / mean_s), at
-most the source's cap, which is the rate closest in relative entropy to using each document once under the constraints:
-the tokens of the source must come to its share of the total, and its number of documents to the same multiple, so that
-long texts are neither favoured nor dropped. The convex dual in (a_s, b_s) is solved by Newton steps with a halving line
-search; gradient and Hessian of every source are sums over all documents, computed by Spark in one aggregation per step.
-Only these sums, some numbers for each source of the mix, come to the driver.
+Method: entropy balancing. Every document d of source s with t tokens gets the rate r(d) = min(cap_s, exp(a_s * t / mean_s)):
+of all rates between zero and the cap that give the source its share of the tokens, these are closest in relative entropy
+to using each document once. So a source that is too large gives up tokens where one document costs most of them, and one
+that is too small repeats its long documents first. The cap is a part of the convex dual, whose gradient in a_s is the
+tokens reached less those wanted. It is solved by Newton steps for all sources at once, held in a bracket; gradient and
+Hessian are sums over all documents. Documents of one source and length have one rate, so the sums are taken over a
+table of (source, tokens, number), which is made once and exact. Only some numbers for each source come to the driver. A
+source without a solution within ``tolerance`` is an error.
 
 Rates become copies: the whole part is kept, and the fractional parts are filled in the order of a hash of the document's
-key divided by its fraction (sequential Poisson sampling) until the source's tokens are reached. The threshold of that
-order is found by histograms of 1,024 bins refined in rounds, not by a sort. A document larger than what is left is passed over and
-the search goes on behind it. The result is deterministic, and misses a goal by less than the smallest document passed over.
+key by its fraction (sequential Poisson sampling) until the source's tokens are reached. The threshold of that
+order is found by histograms whose running sums stay in Spark, refined until one document decides. A document larger than
+what is left is passed over and the search goes on behind it, among those that fit. The search ends when the rest is
+below ``close`` of the goal or no document fits into it, so a share is missed by less than the smallest document left.
 
 The total is the largest at which every source can have its share under its cap, unless a smaller one is given.
 
 Defined results. Documents of null or unlisted sources, and texts without tokens, are in no selection. Repeated texts are
 documents of their own. A listed source without tokens makes the mix impossible: a ValueError names it, unless its share is
-zero. An empty mix gives no rows. Extra columns are ignored.
+zero. An empty mix gives no rows. Extra columns are ignored. The result is deterministic.
 """
 
 from __future__ import annotations
@@ -24,15 +27,18 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelgrid import session
 
-BINS, ROUNDS, STEPS = 1024, 4, 40
+BINS = 4096
 #: Sources of a mix, which is configuration, at most; numbers of this many rows are broadcast and come to the driver.
 MOST_SOURCES = 10_000
-#: Passes that fill what a document too large for the rest has left open, and the part of its goal a source may miss.
-PASSES, CLOSE = 8, 2e-4
+#: A step of the bracket halves it, so that a double is exhausted before this.
+MOST_STEPS = 2_000
+#: Stands for a source that has to be used up to its cap: every document reaches it.
+FULL = 1e300
 
 
 def _with(df: DataFrame, kinds: str, values: dict[str, tuple]) -> DataFrame:
@@ -41,70 +47,67 @@ def _with(df: DataFrame, kinds: str, values: dict[str, tuple]) -> DataFrame:
     return df.join(F.broadcast(numbers), "source")
 
 
-def _rate() -> Column:
-    return F.exp(F.least(F.col("__a") + F.col("__b") * F.col("tokens") / F.col("__mean"), F.lit(50.0)))
+_PARAMS = "__a double, __mean double, __log_cap double"
+
 
+def _power() -> Column:
+    """Exponent of a document's rate before its cap."""
+    return F.col("__a") * F.col("tokens") / F.col("__mean")
 
-_AB = "__a double, __b double, __mean double"
+
+def _rate() -> Column:
+    return F.exp(F.least(_power(), F.col("__log_cap")))
+
+
+def tilts(lengths: DataFrame, goal: dict[str, float], caps: dict[str, int], sizes: dict[str, tuple[int, int, int]], tolerance: float) -> dict[str, float]:
+    """a_s of every source of ``goal``; ``lengths`` has (source, tokens, n), ``sizes`` tokens, documents and smallest length."""
+    mean = {s: sizes[s][0] / sizes[s][1] for s in goal}
+    a = {s: FULL if goal[s] >= caps[s] * sizes[s][0] * (1 - 1e-12) else 0.0 for s in goal}
+    # the root lies below the tilt at which the shortest document has its cap
+    high = {s: math.log(caps[s]) * mean[s] / sizes[s][2] + 1e-9 for s in goal}
+    low: dict[str, float] = dict.fromkeys(goal, -math.inf)
+    going = sorted(s for s in goal if a[s] != FULL)
+    for _ in range(MOST_STEPS):
+        if not going:
+            return a
+        t, x = F.col("tokens") * F.col("n"), F.col("tokens") / F.col("__mean")
+        slope = F.when(_power() < F.col("__log_cap"), t * x * _rate()).otherwise(0.0)
+        rows = _with(lengths, _PARAMS, {s: (a[s], mean[s], math.log(caps[s])) for s in going}).groupBy("source").agg(F.sum(t * _rate()).alias("g"), F.sum(slope).alias("h")).collect()
+        now, going = {r["source"]: (r["g"] - goal[r["source"]], r["h"]) for r in rows}, []
+        for s, (g, h) in sorted(now.items()):
+            if abs(g) <= tolerance * goal[s] or high[s] - low[s] <= 1e-15 * abs(a[s]):
+                if abs(g) > 1e-6 * goal[s]:
+                    raise ValueError(f"no rates give {s} its share")
+                continue
+            low[s], high[s] = (a[s], high[s]) if g < 0 else (low[s], a[s])
+            step = a[s] - g / h if h > 0 else math.inf
+            inside = low[s] < step < high[s]
+            a[s] = step if inside else (low[s] + high[s]) / 2 if low[s] > -math.inf else 2 * high[s] - 1
+            going.append(s)
+    raise ValueError(f"no rates found for {', '.join(going)}")
 
 
 def rates(counted: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, tolerance: float = 1e-10) -> tuple[DataFrame, dict[str, float]]:
     """(doc_id, source, tokens, cap, rate) of the mix, and the tokens that each source is to have.
 
-    ``counted`` holds (doc_id, source, tokens) of the documents that have tokens; it is read once per step.
+    ``counted`` holds (doc_id, source, tokens) of the documents that have tokens; it is read once for its lengths.
     """
-    sizes = {r["source"]: (r["t"], r["n"]) for r in _with(counted, "__any int", {s: (0,) for s in targets}).groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    listed = _with(counted.select("doc_id", "source", "tokens"), "__any int", {s: (0,) for s in targets})
+    lengths = session.cut(listed.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    sizes = {r["source"]: (r["t"], r["n"], r["least"]) for r in lengths.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n"), F.min("tokens").alias("least")).collect()}
     wanted = {s: v for s, v in targets.items() if v[0] > 0 and v[1] > 0}
     if short := [s for s in wanted if s not in sizes]:
         raise ValueError(f"no tokens in {', '.join(short)}")
     most = min((sizes[s][0] * cap / share for s, (share, cap) in wanted.items()), default=0.0)
     total = most if total is None else min(total, most)
     goal = {s: share * total for s, (share, _) in wanted.items()}
-    mean = {s: sizes[s][0] / sizes[s][1] for s in wanted}
-    # in units of the source's own tokens and documents, both constraints ask for the same multiple
-    multiple = {s: goal[s] / sizes[s][0] for s in wanted}
-    a, b = dict.fromkeys(wanted, 0.0), dict.fromkeys(wanted, 0.0)
-    going = set(wanted)
-
-    def sums(a: dict[str, float], b: dict[str, float]) -> dict[str, tuple[float, ...]]:
-        r, x = _rate(), F.col("tokens") / F.col("__mean")
-        rows = _with(counted, _AB, {s: (a[s], b[s], mean[s]) for s in sorted(going)}).groupBy("source").agg(F.sum(r).alias("r"), F.sum(r * x).alias("x"), F.sum(r * x * x).alias("xx")).collect()
-        return {q["source"]: tuple(q[k] / sizes[q["source"]][1] for k in ("r", "x", "xx")) for q in rows}
-
-    def dual(s: str, m: tuple[float, ...], a: float, b: float) -> float:
-        return m[0] - multiple[s] * (a + b)
-
-    now = sums(a, b) if wanted else {}
-    for _ in range(STEPS):
-        step = {}
-        for s in sorted(going):
-            r, x, xx = now[s]
-            g0, g1, det = r - multiple[s], x - multiple[s], r * xx - x * x
-            if max(abs(g0), abs(g1)) <= tolerance * multiple[s]:
-                going.discard(s)
-            elif det > 1e-12 * r * xx:
-                step[s] = ((xx * g0 - x * g1) / det, (r * g1 - x * g0) / det)
-            else:  # all documents of one length: one constraint is left
-                step[s] = (g0 / r, 0.0)
-        if not step:
-            break
-        width = dict.fromkeys(step, 1.0)
-        while True:
-            a2, b2 = dict(a), dict(b)
-            for s, (da, db) in step.items():
-                a2[s], b2[s] = a[s] - width[s] * da, b[s] - width[s] * db
-            then = sums(a2, b2)
-            worse = [s for s in step if not dual(s, then[s], a2[s], b2[s]) <= dual(s, now[s], a[s], b[s]) + 1e-12 and width[s] > 1e-6]
-            if not worse:
-                break
-            for s in worse:
-                width[s] /= 2
-        a, b, now = a2, b2, then
-    rated = _with(counted, f"{_AB}, cap int", {s: (a[s], b[s], mean[s], wanted[s][1]) for s in wanted})
-    return rated.select("doc_id", "source", "tokens", "cap", F.least(_rate(), F.col("cap").cast("double")).alias("rate")), goal
-
-
-def copies(rated: DataFrame, goal: dict[str, float]) -> DataFrame:
+    caps = {s: cap for s, (_, cap) in wanted.items()}
+    a = tilts(lengths, goal, caps, sizes, tolerance)
+    rated = _with(counted.select("doc_id", "source", "tokens"), f"{_PARAMS}, cap int", {s: (a[s], sizes[s][0] / sizes[s][1], math.log(caps[s]), caps[s]) for s in wanted})
+    return rated.select("doc_id", "source", "tokens", "cap", _rate().alias("rate")), goal
+
+
+def copies(rated: DataFrame, goal: dict[str, float], close: float = 1e-4) -> DataFrame:
     """(doc_id, source, tokens, copies) with the rates rounded to copies, documents without any left out."""
     whole = F.least(F.floor(F.col("rate") + 1e-9), F.col("cap")).cast("int")
     part = F.when(whole < F.col("cap"), F.greatest(F.col("rate") - whole, F.lit(0.0))).otherwise(0.0)
@@ -116,33 +119,49 @@ def copies(rated: DataFrame, goal: dict[str, float]) -> DataFrame:
         return keyed.select("doc_id", "source", "tokens", F.col("whole").alias("copies")).limit(0)
     had = {r["source"]: r["t"] for r in keyed.groupBy("source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("t")).collect()}
     rest = {s: goal[s] - had.get(s, 0) for s in goal}
-    done: dict[str, float] = dict.fromkeys(goal, 0.0)  # everything placed before this is taken, but for the gaps
-    gaps: dict[str, list[tuple[float, float]]] = {s: [] for s in goal}
-    for _ in range(PASSES):
-        going = [s for s in goal if done[s] < 1.0 and rest[s] > CLOSE * goal[s]]
-        if not going:
-            break
-        low, high = {s: done[s] for s in going}, dict.fromkeys(going, 1.0)
-        for _ in range(ROUNDS):
-            inside = _with(keyed, "__lo double, __hi double", {s: (low[s], high[s]) for s in going}).filter("place >= __lo and place < __hi")
-            bin_ = F.least(F.floor((F.col("place") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BINS), F.lit(BINS - 1)).cast("int")
-            hist: dict[str, dict[int, int]] = {s: {} for s in going}
-            for r in inside.groupBy("source", bin_.alias("bin")).agg(F.sum("tokens").alias("t")).collect():
-                hist[r["source"]][r["bin"]] = r["t"]
-            for s in going:
-                k, size = 0, (high[s] - low[s]) / BINS
-                while k < BINS and hist[s].get(k, 0) <= rest[s]:
-                    rest[s] -= hist[s].get(k, 0)
-                    k += 1
-                low[s], high[s] = (high[s], high[s]) if k == BINS else (low[s] + k * size, low[s] + (k + 1) * size)
+    # what is taken of each source: everything placed in [from, to) of at most so many tokens
+    taken: dict[str, list[tuple[float, float, float]]] = {s: [] for s in goal}
+    at, low, high, fits = dict.fromkeys(goal, 0.0), dict.fromkeys(goal, 0.0), dict.fromkeys(goal, 1.0), dict(rest)
+    going = [s for s in goal if rest[s] > close * goal[s]]
+    while going:
+        found = _first_too_many(keyed, {s: (low[s], high[s], rest[s], fits[s]) for s in going})
+        ended = []
         for s in going:
-            if low[s] < high[s]:  # what is left here is larger than the rest; smaller documents may follow
-                gaps[s].append((low[s], high[s]))
-            done[s] = high[s]
-    ends = _with(keyed, "__done double, __gaps array<struct<lo: double, hi: double>>", {s: (done[s], gaps[s]) for s in goal})
-    passed = F.exists("__gaps", lambda g: (F.col("place") >= g["lo"]) & (F.col("place") < g["hi"]))
-    taken = (F.col("place") < F.col("__done")) & ~passed
-    return ends.withColumn("copies", F.col("whole") + taken.cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+            if s not in found:  # all that is left here fits
+                taken[s].append((at[s], high[s], fits[s]))
+                ended.append(s)
+                continue
+            before, lo, hi, n = found[s]
+            rest[s] -= before
+            if n > 1 and hi - lo > 1e-15:
+                low[s], high[s] = lo, hi
+                continue
+            # one document is too many: it is passed over, and those behind it that fit are sought
+            taken[s].append((at[s], lo, fits[s]))
+            at[s], low[s], high[s], fits[s] = hi, hi, 1.0, rest[s]
+            if rest[s] <= close * goal[s]:
+                ended.append(s)
+        going = [s for s in going if s not in ended]
+    ends = _with(keyed, "__taken array<struct<lo: double, hi: double, most: double>>", {s: (taken[s],) for s in goal})
+    more = F.exists("__taken", lambda g: (F.col("place") >= g["lo"]) & (F.col("place") < g["hi"]) & (F.col("tokens") <= g["most"]))
+    return ends.withColumn("copies", F.col("whole") + more.cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+
+
+def _first_too_many(keyed: DataFrame, ranges: dict[str, tuple[float, float, float, float]]) -> dict[str, tuple[float, float, float, int]]:
+    """Of each source the first bin of its range with which the documents that fit exceed the rest: tokens before it, its bounds and number of documents."""
+    inside = _with(keyed, "__lo double, __hi double, __rest double, __fits double", ranges).filter("place >= __lo and place < __hi and tokens <= __fits")
+    width = (F.col("__hi") - F.col("__lo")) / BINS
+    bin_ = F.least(F.floor((F.col("place") - F.col("__lo")) / width), F.lit(BINS - 1)).cast("int")
+    bins = inside.groupBy("source", bin_.alias("bin")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.first("__lo").alias("lo"), F.first(width).alias("width"), F.first("__rest").alias("rest"), F.first("__hi").alias("top"))
+    # at most BINS rows of a source meet here
+    run = bins.withColumn("sum", F.sum("t").over(W.partitionBy("source").orderBy("bin"))).filter("sum > rest")
+    first = run.groupBy("source").agg(F.min(F.struct("bin", "t", "n", "lo", "width", "sum", "top")).alias("b"))
+    out = {}
+    for r in first.collect():
+        b = r["b"]
+        lo = b["lo"] + b["bin"] * b["width"]
+        out[r["source"]] = (b["sum"] - b["t"], lo, b["top"] if b["bin"] == BINS - 1 else lo + b["width"], b["n"])
+    return out
 
 
 def mixture(counted: DataFrame, mix: DataFrame, total: float | None = None) -> tuple[DataFrame, dict[str, tuple[float, int]]]:

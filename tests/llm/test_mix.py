@@ -52,3 +52,37 @@ def test_missing_source_and_empty_mix(spark):
     assert selection.count() == 0 and mix.reached(selection, wanted).count() == 0
     zero, _ = mix.mixture(docs(spark), spark.createDataFrame([("gone", 0.0, 1, 1), ("a", 1.0, 1, 1)], SOURCES))
     assert zero.count() > 0
+
+
+def brute(lengths, goal, cap):
+    """Tilt of one source by bisection, and its rates."""
+    mean, low, high = sum(lengths) / len(lengths), -1e4, 1e6
+    rate = lambda a, t: cap if a * t / mean > 300 else min(cap, 2.718281828459045 ** (a * t / mean))
+    for _ in range(400):
+        a = (low + high) / 2
+        low, high = (a, high) if sum(t * rate(a, t) for t in lengths) < goal else (low, a)
+    return {t: rate((low + high) / 2, t) for t in set(lengths)}
+
+
+@pytest.mark.parametrize("total", [None, 60_000, 2_000_000])
+def test_rates_are_tilted_and_match_brute_force(spark, total):
+    targets = {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 5)}
+    data = docs(spark, long=True)
+    rated, goal = mix.rates(data.filter("tokens > 0 and source is not null"), targets, total)
+    got = {}
+    for r in rated.collect():
+        got.setdefault(r["source"], []).append((r["tokens"], r["rate"]))
+    for s, (_, cap) in targets.items():
+        want = brute([t for t, _ in got[s]], goal[s], cap)
+        assert abs(sum(t * r for t, r in got[s]) - goal[s]) < 1e-6 * goal[s]
+        assert max(abs(r - want[t]) for t, r in got[s]) < 1e-6
+        if s != "c" or total == 60_000:
+            assert len({round(r, 9) for _, r in got[s]}) > 20
+
+
+def test_shares_of_many_documents(spark):
+    draw = random.Random(3)
+    data = spark.createDataFrame([(k, "abc"[k % 7 % 3], draw.randrange(1, 900), 0.1) for k in range(30_000)], DOCS)
+    targets = spark.createDataFrame([("a", 0.6, 2, 1), ("b", 0.3, 1, 1), ("c", 0.1, 3, 1)], SOURCES)
+    for r in mix.reached(*mix.mixture(data, targets)).collect():
+        assert abs(r["reached_share"] - r["target_share"]) < 0.0002
