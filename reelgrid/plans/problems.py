@@ -57,11 +57,11 @@ def _p1_sql(least: int) -> str:
 
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return rawlines.parse_lines(table(spark, folder, "raw_lines"))
+    return rawlines.parse_lines(table(spark, folder, "raw_lines"), strict=True)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _parsed(spark, folder).filter("bad_field is not null").select("raw_id", "bad_field")
+    return _parsed(spark, folder).filter(F.col("bad_field").isin("line", *rawlines.FIRST.values())).select("raw_id", "bad_field")
 
 
 def p3_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,14 +81,44 @@ def p3_title_episode(spark: SparkSession, folder: str) -> DataFrame:
     return rawlines.loaded(_parsed(spark, folder), "title.episode.tsv.gz")
 
 
-_STRING = r'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*"'
-_P3 = rf"""
+#: The longest beginning of a value that a valid one may have, and a valid one, by kind; blanks, units of a string, a string and a begun one.
+_W, _C = r"[ \t\n\r]*", r'(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})'
+_S, _BEGUN = f'"{_C}*"', rf'"{_C}*(?:\\(?:u[0-9a-fA-F]{{0,3}})?)?'
+_PREFIX = {
+    "json": rf"^{_W}(?:\[{_W}(?:{_S}{_W}(?:,{_W}{_S}{_W})*(?:\]{_W}|,{_W}(?:{_BEGUN})?)?|\]{_W}|{_BEGUN})?)?", "int": "^[0-9]*",
+    "boolean": "^[01]?", "double": r"^(?:[0-9]+(?:\.[0-9]*)?)?",
+}
+_VALID = {"json": rf"{_W}\[{_W}(?:{_S}{_W}(?:,{_W}{_S}{_W})*)?\]{_W}", "int": "[0-9]+", "boolean": "[01]", "double": r"[0-9]+(?:\.[0-9]+)?"}
+
+
+def _p3_sql() -> str:
+    """CTEs ending in ``judged`` (raw_id, line_no, file_name, f, bad_field, reason, bad_offset)."""
+    from reelgrid.schema import ARCHIVES, TYPES
+
+    tests = []
+    for archive, names in ARCHIVES.items():
+        for name in sorted(names, key=lambda x: x != rawlines.FIRST.get(archive)):
+            kind = "json" if name == "characters" else TYPES.get(name, "text")
+            if kind == "text":
+                continue
+            k = names.index(name) + 1
+            here = f"file_name = '{archive}' AND f[{k}] <> '\\N'" + (f" AND f[{k}] <> ''" if kind == "json" else "")
+            # a begun null mark is a beginning too
+            reached = rf"strlen(CASE WHEN f[{k}][1] = '\' THEN regexp_extract(f[{k}], '^\\N?') ELSE regexp_extract(f[{k}], '{_PREFIX[kind]}') END)"
+            before = f"strlen(array_to_string(f[1:{k - 1}], chr(9))) + {1 if k > 1 else 0}"
+            tests.append(f"WHEN {here} AND NOT regexp_full_match(f[{k}], '{_VALID[kind]}') THEN {{'field': '{name}', 'reason': '{rawlines.REASONS[kind]}', 'at': {before} + {reached}}}")
+            if kind == "int":
+                tests.append(f"WHEN {here} AND NOT coalesce(TRY_CAST(f[{k}] AS HUGEINT) <= {rawlines.LARGEST}, false) THEN {{'field': '{name}', 'reason': 'larger than {rawlines.LARGEST}', 'at': {before}}}")
+    return rf"""
     WITH heads AS (SELECT file_name, len(string_split(rtrim(line, chr(13)), chr(9))) AS n FROM raw_lines WHERE line_no = 1),
     split AS (SELECT raw_id, r.line_no, r.file_name, string_split(rtrim(coalesce(line, ''), chr(13)), chr(9)) AS f, n FROM raw_lines r LEFT JOIN heads h ON r.file_name = h.file_name WHERE r.line_no <> 1),
-    judged AS (SELECT raw_id, line_no, file_name, f, CASE WHEN n IS NULL OR len(f) <> n THEN 'line'
-      WHEN file_name = 'title.principals.tsv.gz' AND f[6] NOT IN ('\N', '') AND NOT regexp_full_match(f[6], '[ \t\n\r]*\[[ \t\n\r]*(?:{_STRING}[ \t\n\r]*(?:,[ \t\n\r]*{_STRING}[ \t\n\r]*)*)?\][ \t\n\r]*') THEN 'characters'
-      WHEN file_name = 'title.basics.tsv.gz' AND f[8] <> '\N' AND NOT (regexp_full_match(f[8], '[0-9]+') AND coalesce(TRY_CAST(f[8] AS HUGEINT) <= 2147483647, false)) THEN 'runtimeMinutes'
-      WHEN file_name = 'title.episode.tsv.gz' AND f[3] <> '\N' AND NOT (regexp_full_match(f[3], '[0-9]+') AND coalesce(TRY_CAST(f[3] AS HUGEINT) <= 2147483647, false)) THEN 'seasonNumber' END AS bad_field FROM split)"""
+    told AS (SELECT raw_id, line_no, file_name, f, CASE WHEN n IS NULL THEN {{'field': 'line', 'reason': 'unknown archive', 'at': 0}}
+      WHEN len(f) <> n THEN {{'field': 'line', 'reason': len(f) || ' fields, expected ' || n, 'at': strlen(array_to_string(f[1:n], chr(9)))}}
+      {" ".join(tests)} END AS e FROM split),
+    judged AS (SELECT raw_id, line_no, file_name, f, e.field AS bad_field, e.reason AS reason, CAST(e.at AS BIGINT) AS bad_offset FROM told)"""
+
+
+_P3 = _p3_sql()
 
 
 def _p3_typed(archive: str) -> str:
@@ -160,7 +190,8 @@ QUERIES = {
 SQL = {
     "p1_found": _p1_sql(2),
     "p1_values": _p1_sql(1),
-    "p3_found": f"{_P3} SELECT raw_id, bad_field FROM judged WHERE bad_field IS NOT NULL",
+    "p3_found": f"{_P3} SELECT raw_id, bad_field FROM judged WHERE bad_field IN ('line', 'characters', 'runtimeMinutes', 'seasonNumber')",
+    "p3_errors": f"{_P3} SELECT raw_id, file_name, line_no, bad_field, reason, bad_offset FROM judged WHERE bad_field IS NOT NULL",
     "p3_title_basics": _p3_typed("title.basics.tsv.gz"),
     "p3_title_principals": _p3_typed("title.principals.tsv.gz"),
     "p3_title_episode": _p3_typed("title.episode.tsv.gz"),

@@ -72,3 +72,55 @@ def test_long_record_and_empty_table(spark):
     got = {r["raw_id"]: r["bad_field"] for r in R.parse_lines(spark.createDataFrame(data, RAW)).collect()}
     assert got == {1: None, 2: "characters"}
     assert R.parse_lines(spark.createDataFrame([], RAW)).count() == 0
+
+
+def plain_walk(line, archive):
+    """(bad_field, offset) of a record, field by field."""
+    names = R.ARCHIVES[archive]
+    fields = line.rstrip("\r").split("\t")
+    if len(fields) != len(names):
+        return "line", len("\t".join(fields[: len(names)]).encode())
+    for name in sorted(names, key=lambda x: x != R.FIRST.get(archive)):
+        kind, value = "json" if name == "characters" else R.TYPES.get(name, "text"), fields[names.index(name)]
+        at = len("".join(f + "\t" for f in fields[: names.index(name)]).encode())
+        if kind == "text" or value == "\\N" or (kind == "json" and not value):
+            continue
+        if value.startswith("\\"):  # the null mark is a way too
+            return name, at + (2 if value.startswith("\\N") else 1)
+        steps, good, fail, _ = R.VALUES[kind]
+        state = 0
+        for k, byte in enumerate(value.encode()):
+            state = steps[state, byte]
+            if state == fail:
+                return name, at + k
+        if state not in good:
+            return name, at + len(value.encode())
+        if kind == "int" and int(value) > R.LARGEST:
+            return name, at
+    return None
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 100_000])
+def test_tokenizer_against_a_plain_walk(spark, chunk, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", chunk)
+    import pyarrow as pa
+
+    draw = random.Random(7)
+    archives = sorted(R.ARCHIVES)
+    bits = {"text": ["tt1", "", "\\N", "Ünï ,", '"'], "int": ["7", "0012", "99999999999", "2147483648", "", "1x", "\\N", "\\Nx", "é"], "boolean": ["0", "1", "2", "", "\\N", "01"], "double": ["1.5", "3", ".5", "3.", "\\N", "1.2.3"], "json": ["[]", '["a","\\\\"]', '["a"', "", "\\N", '["é",1]', "é"]}
+    for archive in archives:
+        kinds = ["json" if x == "characters" else R.TYPES.get(x, "text") for x in R.ARCHIVES[archive]]
+        lines = ["\t".join([draw.choice(bits[k]) for k in kinds][: draw.choice([99] * 8 + [len(kinds) - 1])] + ["x"] * (draw.random() < 0.1)) + "\r" * draw.randrange(3) for _ in range(400)]
+        names, _, offsets, fields, _ = R._tokenized(pa.array(lines), archive, len(kinds), True)
+        want = [plain_walk(x, archive) for x in lines]
+        assert [(n, o) if n else None for n, o in zip(names.to_pylist(), offsets.to_pylist(), strict=True)] == want
+        assert fields.to_pylist() == [None if w else [None if f == "\\N" else f for f in x.rstrip("\r").split("\t")] for x, w in zip(lines, want, strict=True)]
+
+
+def test_strict_and_lost_values(spark):
+    data = [(1, "title.basics.tsv.gz", 2, "tt1\tmovie\tA\tA\tx\tabc\t\\N\t90\tDrama", ""), (2, "title.basics.tsv.gz", 3, "tt2\tmovie\tA\tA\t1\t2000\t\\N\t90\tDrama", "")]
+    raw = spark.createDataFrame(data, RAW)
+    strict = {r["raw_id"]: (r["bad_field"], r["bad_offset"]) for r in R.parse_lines(raw, strict=True).collect()}
+    assert strict == {1: ("isAdult", 14), 2: (None, None)}
+    lost = {r["raw_id"]: r["lost"] for r in R.parse_lines(raw).collect()}
+    assert [(x["field"], x["reason"], x["at"]) for x in lost[1]] == [("isAdult", "not 0 or 1", 14), ("startYear", "not a whole number", 16)] and lost[2] is None
