@@ -161,8 +161,8 @@ HOT = (("title_episode", "parenttconst"), ("title_akas", "titleid"), ("title_pri
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = [tree.hot_keys(table(spark, folder, name), key).select(F.lit(name).alias("table_name"), "hot_key") for name, key in HOT]
-    return found[0].unionAll(found[1]).unionAll(found[2])
+    keys = [table(spark, folder, name).select(F.lit(name).alias("table_name"), F.col(key).alias("key")) for name, key in HOT]
+    return tree.hot_keys(keys[0].unionAll(keys[1]).unionAll(keys[2]), "key", within="table_name").select("table_name", "hot_key")
 
 
 def p6_per_series(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,10 +6,12 @@ setting is missing (local tests). Nothing here uses localCheckpoint or a machine
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, without a trailing slash."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='reelgrid-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -74,6 +78,39 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
 
 
+def kept(df: DataFrame, label: str, build: Callable[[str], None]) -> str:
+    """The path of a table that ``build(path)`` writes from ``df``, kept in the shared folder for later applications.
+
+    It is found again by ``label`` (which has to name what is built) and by the names, sizes and times of the files
+    that ``df`` reads; a change of any of them builds it anew. A frame without files is written for this application only.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for name in sorted(df.inputFiles()):
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        told = where.getFileSystem(conf).getFileStatus(where)
+        seen.append(f"{name} {told.getLen()} {told.getModificationTime()}")
+    if not seen:
+        path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        build(path)
+        return path
+    path = f"{shared_dir(spark)}/reelgrid/kept/{label}-{hashlib.md5(chr(10).join(seen).encode()).hexdigest()}"
+    done = jvm.org.apache.hadoop.fs.Path(path)
+    files = done.getFileSystem(conf)
+    if not files.exists(done):
+        began = f"{path}-{uuid.uuid4().hex}"
+        build(began)
+        if not files.rename(jvm.org.apache.hadoop.fs.Path(began), done):  # another application was first
+            dropped(spark, began)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Remove a table made by ``written``."""
     jvm = spark.sparkContext._jvm
@@ -82,8 +119,12 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 def parts(spark: SparkSession, path: str) -> list[str]:
-    """The data files of a written table, as URIs; one entry per file, no rows."""
+    """The data files of a written table and its subfolders, as URIs; one entry per file, no rows."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
-    return sorted(str(f.getPath().toString()) for f in files if f.getPath().getName().endswith(".parquet"))
+    found, out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        name = str(found.next().getPath().toString())
+        if name.endswith(".parquet"):
+            out.append(name)
+    return sorted(out)

@@ -1,6 +1,7 @@
 """Changes between snapshots, and per-key results without imbalance."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -32,11 +33,37 @@ def test_one_or_no_snapshot(spark):
     assert snapshots.changes(spark.createDataFrame([], SNAP)).count() == 0
 
 
-def test_no_further_exchange_after_the_range(spark):
-    df = snapshots.changes(spark.createDataFrame([snap(1, "a", 1.0, 1), snap(2, "a", 2.0, 1)], SNAP))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    window = plan[: plan.index("rangepartitioning")]
-    assert "hashpartitioning" not in window
+def test_kept_deliveries_are_merged_without_an_exchange(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "BATCH", 7)
+    draw = random.Random(4)
+    data = [snap(no, f"t{draw.randrange(300)}", draw.choice([None, 1.0, 2.04]), draw.choice([None, 5, 6]), draw.randrange(9)) for no in (2, 3, 9) for _ in range(400)]
+    kept = snapshots.Kept(spark, f"file://{tmp_path}/kept")
+    kept.add(spark.createDataFrame([d for d in data if d[0] < 9], SNAP), ranges=5)
+    before = kept.files()
+    kept.add(spark.createDataFrame(data, SNAP))  # only the new delivery is written
+    assert {no: kept.files()[no] for no in before} == before and sorted(kept.files()) == [2, 3, 9] and len(before[2]) == 5
+    df = kept.changes()
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    last = {}
+    for no, _, key, rating, votes, at, _ in data:
+        low = lambda v: (v is not None, v or 0)
+        rating = None if rating is None else round(rating, 1)
+        last[no, key] = max(last.get((no, key), (at, low(rating), low(votes))), (at, low(rating), low(votes)))
+    want = []
+    for old, new in ((2, 3), (3, 9)):
+        for key in {k for n, k in last if n in (old, new)}:
+            a, b = last.get((old, key)), last.get((new, key))
+            if kind := "added" if a is None else "removed" if b is None else "changed" if a[1:] != b[1:] else None:
+                want.append((new, key, kind))
+    assert rows(df.select("snapshot_no", "tconst", "change_kind")) == sorted(want, key=repr)
+
+
+def test_hot_keys_only_go_through_rounds(spark, rows):
+    df = spark.range(0, 4000, 1, 3).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id"))).alias("k"), F.col("id").cast("string").alias("v"))
+    got = tree.tree_aggregate(df, "k", [tree.rows_of("n"), tree.min_of("a", F.col("v"))], fan_in=4, chunk_rows=50)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 + 1 + 3  # cold keys once, hot ones in three rounds after 81 chunks
+    assert rows(got) == rows(df.groupBy("k").agg(F.count(F.lit(1)), F.min("v")))
 
 
 def test_tree_equals_one_aggregation(spark, rows):
