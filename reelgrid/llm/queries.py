@@ -119,16 +119,29 @@ def _p5_sql(what: str) -> str:
 BEST = 5
 
 
-def p7_best(spark: SparkSession, folder: str) -> DataFrame:
-    """The best rated episodes of every series, with rating and votes."""
+def _rated_episodes(spark: SparkSession, folder: str) -> DataFrame:
+    """(grp, item, score, second): every episode of a series with its last full rating."""
     full = table(spark, folder, "title_ratings").filter("tconst is not null and averagerating is not null and numvotes is not null")
     last = full.groupBy("tconst").agg(F.max(F.struct("loaded_at", "averagerating", "numvotes")).alias("r")).select("tconst", "r.averagerating", "r.numvotes")
     episodes = table(spark, folder, "title_episode").filter("parenttconst is not null and tconst is not null").select("parenttconst", "tconst").distinct()
-    rated = episodes.join(last, "tconst").select(F.col("parenttconst").alias("grp"), F.col("tconst").alias("item"), F.col("averagerating").alias("score"), F.col("numvotes").cast("long").alias("second"))
-    best = topn.top_n(rated, BEST)
+    return episodes.join(last, "tconst").select(F.col("parenttconst").alias("grp"), F.col("tconst").alias("item"), F.col("averagerating").alias("score"), F.col("numvotes").cast("long").alias("second"))
+
+
+def _clustered(spark: SparkSession, folder: str) -> str:
+    return topn.kept_table(_rated_episodes(spark, folder), label="rated-episodes")
+
+
+def p7_best(spark: SparkSession, folder: str) -> DataFrame:
+    """The best rated episodes of every series, with rating and votes."""
+    best = topn.best_of(spark, _clustered(spark, folder), BEST)
     return best.select(F.col("grp").alias("parenttconst"), F.col("rnk").cast("int").alias("rnk"), F.col("item").alias("tconst"), F.col("score").alias("averagerating"), F.col("second").cast("int").alias("numvotes"))
 
 
+def p7_skipping(spark: SparkSession, folder: str) -> DataFrame:
+    """Row groups of each file of the clustered table, those read and those skipped."""
+    return topn.skipping(spark, _clustered(spark, folder), BEST)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_best(spark, folder).select("parenttconst", "rnk", "tconst")
 
@@ -180,7 +193,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_members": p5_members, "p5_forms": p5_forms, "p7_found": p7_found, "p7_best": p7_best,
+    "p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_members": p5_members, "p5_forms": p5_forms, "p7_found": p7_found, "p7_best": p7_best, "p7_skipping": p7_skipping,
     "p8_ids": p8_ids, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_evidence": p10_evidence,
 }
 

@@ -1,7 +1,8 @@
 """Top N items within every group (problem 7).
 
 Method: statistics-guided skipping. The scored rows are written to a table clustered by group (range-partitioned and
-sorted by group, then score), in small row groups whose footers hold the largest and smallest score and group. One task
+sorted by group, then score), in small row groups whose footers hold the largest and smallest score and group. The table is
+kept in the shared folder for as long as the files it is made from are the same. One task
 per file then reads the row groups in descending order of their largest score, keeps the N best of every group seen, and
 skips a row group whose largest score is strictly below the N-th score of every group in it: for a row group of one
 group the footer alone decides, for one of several groups the group column is read first. Ties are never skipped, as a
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,25 +97,58 @@ class _Reader:
         yield from self.kept.values()
 
 
-def top_n(rows: DataFrame, n: int, row_group_bytes: int = 1 << 20) -> DataFrame:
-    """(grp, rnk, item, score, second) of (grp, item, score, second) rows."""
-    spark = rows.sparkSession
+#: Rows of a row group: large groups have to span several, as only whole row groups can be skipped.
+ROW_GROUP = 4096
+
+
+def clustered(rows: DataFrame, path: str, row_group: int = ROW_GROUP) -> None:
+    """Write the valid (grp, item, score, second) rows, an item once per group, clustered by group and score."""
     number = F.regexp_extract("item", "([0-9]+)", 1).try_cast("decimal(38,0)")
     valid = rows.filter("grp is not null and item is not null and score is not null").select("grp", "item", F.col("score").cast("double").alias("score"), F.coalesce(F.col("second").cast("long"), F.lit(-1)).alias("second"))
     once = valid.groupBy("grp", "item").agg(F.max(F.struct("score", "second")).alias("s")).select("grp", "item", "s.score", "s.second", F.coalesce(number, F.lit(0).cast("decimal(38,0)")).alias("number"))
-    clustered = once.repartitionByRange("grp", F.desc("score"), "item").sortWithinPartitions("grp", F.desc("score"))
-    path = session.written(clustered, "clustered", **{"parquet.block.size": str(row_group_bytes), "parquet.block.row.count.limit": "20000"})
-    files = session.parts(spark, path)
-    if not files:
-        return spark.createDataFrame([], "grp string, rnk int, item string, score double, second long")
+    # written first, as range partitioning reads its input twice
+    held = session.cut(once, "scored")
+    ordered = held.repartitionByRange("grp", F.desc("score"), "item").sortWithinPartitions("grp", F.desc("score"))
+    ordered.write.options(**{"parquet.block.row.count.limit": str(row_group), "parquet.page.row.count.limit": str(row_group)}).parquet(path)
+
+
+def _tasks(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file of the clustered table: file names, not data, dealt out without an exchange."""
+    return spark.createDataFrame([(u,) for u in session.parts(spark, path)], "uri string")
+
+
+def best_of(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(grp, rnk, item, score, second) of a clustered table."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for uri in b["uri"]:
                 yield from best_of_file(uri, n)
 
-    # one row per file of the clustered table: file names, not data
-    tasks = spark.createDataFrame([(u, k) for k, u in enumerate(files)], "uri string, k int").repartition(len(files), "k").select("uri")
-    kept = tasks.mapInPandas(read, SCHEMA)
+    kept = _tasks(spark, path).mapInPandas(read, SCHEMA)
     rank = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("score"), F.desc("second"), "number", "item"))
     return kept.withColumn("rnk", rank).filter(F.col("rnk") <= n).select("grp", "rnk", "item", "score", "second")
+
+
+def skipping(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(file, row_groups, read, skipped) of each file of a clustered table."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for uri in b["uri"]:
+                reader = _Reader(uri, n)
+                for _ in reader.run():
+                    pass
+                yield pd.DataFrame({"file": [uri.rsplit("/", 1)[-1]], "row_groups": [reader.file.num_row_groups], "read": [reader.read], "skipped": [reader.skipped]})
+
+    return _tasks(spark, path).mapInPandas(count, "file string, row_groups long, read long, skipped long")
+
+
+def top_n(rows: DataFrame, n: int, row_group: int = ROW_GROUP) -> DataFrame:
+    """(grp, rnk, item, score, second) of (grp, item, score, second) rows, whose clustered table is kept in the shared folder."""
+    return best_of(rows.sparkSession, kept_table(rows, row_group), n)
+
+
+def kept_table(rows: DataFrame, row_group: int = ROW_GROUP, label: str = "clustered") -> str:
+    """Path of the clustered table of ``rows``; ``label`` has to name how they are made from their files."""
+    return session.kept(rows, f"{label}-{row_group}", lambda path: clustered(rows, path, row_group))

@@ -29,7 +29,7 @@ def test_against_brute_force(spark, rows, n):
     draw = random.Random(n)
     data = [(draw.choice(["hot", "hot", "a", "b", f"g{k % 50}"]), f"tt{draw.randrange(4000)}", draw.randrange(20) / 2, draw.randrange(3), 1) for k in range(6000)]
     data += data[:100] + [(None, "tt1", 1.0, 1, 1), ("a", None, 1.0, 1, 1), ("a", "tt1", None, 1, 1), ("only", "x", 1.0, None, 1)]
-    got = topn.top_n(spark.createDataFrame(data, COLS), n, row_group_bytes=4096)
+    got = topn.top_n(spark.createDataFrame(data, COLS), n, row_group=200)
     assert rows(got.select("grp", "rnk", "item")) == brute(data, n)
 
 
@@ -43,3 +43,13 @@ def test_row_groups_below_the_nth_score_are_skipped(spark):
 
 def test_empty(spark):
     assert topn.top_n(spark.createDataFrame([], COLS), 5).count() == 0
+
+
+def test_kept_table_is_found_again_and_skips(spark, rows, tmp_path):
+    spark.range(40_000).selectExpr("case when id % 2 = 0 then 'hot' else concat('g', id % 90) end as grp", "concat('tt', id) as item", "cast(id % 997 as double) as score", "id % 7 as second").write.parquet(f"file://{tmp_path}/in")
+    df = spark.read.parquet(f"file://{tmp_path}/in")
+    path = topn.kept_table(df, 1000, "again")
+    assert topn.kept_table(df, 1000, "again") == path
+    told = topn.skipping(spark, path, 3).collect()
+    assert sum(r["skipped"] for r in told) > 5 and all(r["read"] + r["skipped"] == r["row_groups"] for r in told)
+    assert rows(topn.best_of(spark, path, 3).select("grp", "rnk", "item")) == brute([(*r, 1) for r in df.collect()], 3)
