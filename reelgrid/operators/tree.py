@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from reelgrid import session
 
-CHUNK_ROWS, FAN_IN = 1 << 14, 8
+CHUNK_ROWS, FAN_IN = 1 << 16, 8
 #: Hot keys that are broadcast at most; more are joined by key.
 MOST_BROADCAST = 100_000
 
