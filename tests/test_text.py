@@ -101,6 +101,13 @@ PARSED = {
     '"Lost" (2004) {(2004-09-22)}': {"aired": "2004-09-22", "year": 2004},
     "Foo (1999) aka Bar": {"title": "Foo"},
     "!!! (2026)": {"title": "!!!", "year": 2026},
+    "Pilot (TV Episode) - Season 1 | Episode 2 - Lost (2004)": {"title": "Pilot", "kind": "episode", "season": 1, "episode": 2, "series_title": "Lost", "series_year": 2004},
+    "Pilot (2005) (TV Episode) - Lost": {"title": "Pilot", "year": 2005, "kind": "episode", "series_title": "Lost", "series_kind": "movie"},
+    '"Lost" Pilot (2005)': {"title": "Pilot", "year": 2005, "kind": "episode", "series_title": "Lost", "series_kind": "tv series"},
+    '"Lost" (2004) {Pilot (#1.2)}': {"title": "Pilot", "season": 1, "episode": 2, "aired": None},
+    '"Lost" (2004) {(#1.2)}': {"title": "(#1.2)", "season": 1, "episode": 2},
+    "Foo (Video Game) (2001/III)": {"title": "Foo", "kind": "video game", "year": 2001, "roman_index": "III"},
+    "Foo (not a mark) (1980)": {"title": "Foo (not a mark)", "year": 1980},
 }
 
 
