@@ -22,23 +22,22 @@ def close_in_length(a: Column, b: Column) -> Column:
     return F.coalesce(a.isNotNull() & b.isNotNull() & (long > 0) & (short.cast("double") / F.nullif(long, F.lit(0)) >= LEAST_LENGTHS), F.lit(False))
 
 
+def _score(matcher, a: str | None, b: str | None) -> float | None:  # noqa: ANN001
+    if a is None or b is None:
+        return None
+    matcher.set_seq1(a)
+    if matcher.b is not b:
+        matcher.set_seq2(b)
+    return matcher.ratio()
+
+
 def _ratio(query: pd.Series, candidate: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
-    scores: dict[tuple[str, str], float] = {}
-    matchers: dict[str, SequenceMatcher] = {}
-    out = []
-    for a, b in zip(query, candidate, strict=True):
-        if a is None or b is None:
-            out.append(None)
-            continue
-        pair = (a, b)
+    matcher, scores, out = SequenceMatcher(None), {}, []
+    for pair in zip(query, candidate, strict=True):
         if pair not in scores:
-            matcher = matchers.get(a)
-            if matcher is None:
-                matcher = matchers[a] = SequenceMatcher(None, a)
-            matcher.set_seq2(b)
-            scores[pair] = matcher.ratio()
+            scores[pair] = _score(matcher, *pair)
         out.append(scores[pair])
     return pd.Series(out, dtype="float64")
 
@@ -50,3 +49,21 @@ _udf = F.pandas_udf(_ratio, T.DoubleType()).asNondeterministic()
 def ratio(query: Column, candidate: Column) -> Column:
     """Gestalt ratio of two texts as they are; null if one is null."""
     return _udf(query, candidate)
+
+
+def _ratios(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+    from difflib import SequenceMatcher
+
+    matcher, direct, other = SequenceMatcher(None), [], []
+    for q, t, bare_q, bare_t in zip(a, b, c, d, strict=True):
+        direct.append(_score(matcher, q, t))
+        other.append(direct[-1] if (bare_q, bare_t) == (q, t) else _score(matcher, bare_q, bare_t))
+    return pd.DataFrame({"direct": pd.Series(direct, dtype="float64"), "other": pd.Series(other, dtype="float64")})
+
+
+_two = F.pandas_udf(_ratios, T.StructType([T.StructField("direct", T.DoubleType()), T.StructField("other", T.DoubleType())])).asNondeterministic()
+
+
+def two_ratios(query: Column, candidate: Column, other_query: Column, other_candidate: Column) -> Column:
+    """struct(direct, other): the ratios of two pairs of texts, which are often the same pair; for pairs that are distinct already."""
+    return _two(query, candidate, other_query, other_candidate)

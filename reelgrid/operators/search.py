@@ -1,8 +1,9 @@
 """Ranked fuzzy search over titles and persons, for one query text or a DataFrame of them.
 
-Candidates share the query's phonetic key (an equi-join on a stored key column, so hot keys split by adaptive execution);
-texts without a Latin letter have no key and are compared as they are. Candidates pass a native length test, then the
-similarity UDF, then a threshold. A title and its alternate titles count once, with the best score.
+Candidates share the query's phonetic key, which is a stored column; a few keys hold much of a catalogue, so the join is salted.
+Texts without a Latin letter have no key and are compared as they are. What is joined and scored are distinct texts,
+each pair once: a native length test, then the similarity UDF, then a threshold; only what is left meets the rows that
+have the texts. A title and its alternate titles count once, with the best score.
 
 Scores. Titles: the larger of ratio(query, title) + 0.1 and the ratio of both without article; an episode loses 0.2.
 Persons: the larger of ratio(query, name) + 0.1 and the ratio of the canonical forms; an equal name has 2 at least.
@@ -16,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelgrid import session
 from reelgrid.functions import keys
 from reelgrid.functions.parse import analyze
-from reelgrid.functions.similarity import LEAST_SCORE, close_in_length, ratio
+from reelgrid.functions.similarity import LEAST_SCORE, close_in_length, two_ratios
 from reelgrid.functions.text import canonical_name, id_number
 from reelgrid.schema import KINDS
 
@@ -26,6 +28,8 @@ from reelgrid.schema import KINDS
 KIND_WEIGHT = {"movie": 6, "tv movie": 5, "tv series": 4, "tv mini series": 4, "tv special": 3, "tv short": 2, "short": 1, "video": 1}
 #: Fixed value: titles compared as they are, per query, where there is no key.
 EXACT_ROWS = 100
+#: Parts of a phonetic key's texts, which are joined apart.
+SALTS = 16
 EPISODE_KINDS = ("episode", "tvEpisode")
 DEFAULT_RESULTS = 20
 
@@ -79,18 +83,82 @@ def title_filter(kinds: Iterable[str] | None = None, episodes: bool = False, adu
     return out
 
 
-def candidates(queries: DataFrame, rows: DataFrame, title: str, key: str, joined: Callable[[DataFrame], DataFrame] = lambda hits: hits, year: str | None = None) -> DataFrame:
+def candidates(queries: DataFrame, rows: DataFrame, title: str, key: str, joined: Callable[[DataFrame], DataFrame] = lambda hits: hits, year: str | None = None, keyed: bool = True, bound: int | None = EXACT_ROWS) -> DataFrame:
     """Pairs of (query_id, query, ...) and rows with the same phonetic key, or without one the same text (EXACT_ROWS ids each).
 
     ``joined`` adds to the pairs what filters them, before they are bounded. If ``year`` names a column, ids of the query's
-    year come first. An id counts once, however many of its rows have the text.
+    year come first. An id counts once, however many of its rows have the text. Without ``keyed`` only texts without a key
+    are sought; without a ``bound`` all ids are kept.
     """
     asked = queries.withColumn("query_key", keys.title_key(F.col("query")))
-    keyed = joined(asked.filter("query_key is not null").join(rows, F.col("query_key") == F.col("t_soundex")))
     bare = joined(asked.filter("query_key is null").join(rows.filter("t_soundex is null"), F.col("query") == F.col(title)))
     order = [F.coalesce(F.col(year) == F.col("query_year"), F.lit(False)).desc()] if year else []
-    few = bare.withColumn("__nr", F.dense_rank().over(W.partitionBy("query_id").orderBy(*order, key))).filter(F.col("__nr") <= EXACT_ROWS).drop("__nr")
-    return keyed.unionByName(few)
+    few = bare if bound is None else bare.withColumn("__nr", F.dense_rank().over(W.partitionBy("query_id").orderBy(*order, key))).filter(F.col("__nr") <= bound).drop("__nr")
+    if not keyed:
+        return few
+    return joined(asked.filter("query_key is not null").join(rows, F.col("query_key") == F.col("t_soundex"))).unionByName(few)
+
+
+def _salted(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Pairs of (text_q, ...) and (text_t, ...) with an equal ``key``: each key's known texts in SALTS parts, the fewer asked ones repeated for each."""
+    left = asked.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = known.withColumn("__salt", F.pmod(F.xxhash64("text_t"), F.lit(SALTS)).cast("int"))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+def _close(pairs: DataFrame, other_q: str, other_t: str, same: Column | None = None, cross: bool = False) -> DataFrame:
+    """``pairs`` (text_q, text_t and other forms of both) with ``base``, the larger of ratio + 0.1 and the ratio of the other forms.
+
+    ``same`` names pairs that are kept whatever their lengths; ``cross`` measures the other known form against the text asked.
+    """
+    query, known = F.col("text_q"), F.col("text_t")
+    direct, other = close_in_length(query, known), close_in_length(query if cross else F.col(other_q), F.col(other_t))
+    near = pairs.filter((direct | other) if same is None else (same | direct | other))
+    raw = near.withColumn("__r", two_ratios(F.lower(query), F.lower(known), F.lower(F.col(other_q)), F.lower(F.col(other_t))))
+    first = F.when(direct, F.col("__r.direct")).otherwise(0.0) + 0.1
+    second = F.when(other, F.col("__r.other")).otherwise(0.0)
+    return raw.withColumn("base", F.greatest(first, second)).drop("__r")
+
+
+def scored_titles(queries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(query, text, base) of the distinct asked and known texts with one phonetic key and a score of at least ``least``.
+
+    ``queries`` has query, ``texts`` text and t_soundex.
+    """
+    bare = lambda df, c: df.withColumn(f"bare_{c}", keys.strip_article(F.col(f"text_{c}")))
+    asked = bare(queries.select(F.col("query").alias("text_q")).filter("text_q is not null").distinct().withColumn("t_soundex", keys.title_key(F.col("text_q"))).filter("t_soundex is not null"), "q")
+    known = bare(texts.filter("t_soundex is not null").select(F.col("text").alias("text_t"), "t_soundex").distinct(), "t")
+    return _close(_salted(asked, known, "t_soundex"), "bare_q", "bare_t").filter(F.col("base") >= least).select(F.col("text_q").alias("query"), F.col("text_t").alias("text"), "base")
+
+
+def title_hits(queries: DataFrame, titles: DataFrame, akas: DataFrame | None = None, only: Column | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """(query_id, query_year, tconst, title, kind, year, title_year, source, ordering, score) of all rows that meet a query."""
+    rows = with_title_key(titles if only is None else titles.filter(only), "primarytitle").select("tconst", F.col("primarytitle").alias("text"), F.col("titletype").alias("kind"), F.col("startyear").alias("year"), F.col("startyear").alias("title_year"), "t_soundex")
+    texts, asked = rows.select("text", "t_soundex"), queries.select("query_id", "query", "query_year")
+    if akas is not None:
+        others = with_title_key(akas, "title").select(F.col("titleid").alias("tconst"), F.col("title").alias("text"), F.col("ordering").cast("int").alias("ordering"), "t_soundex")
+        texts = texts.unionAll(others.select("text", "t_soundex"))
+    # written, as titles and alternate titles meet it; it holds pairs that are close
+    scored = session.cut(scored_titles(queries, texts, least), "scored-texts").join(asked, "query")
+    none = [F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("year")]
+    columns = ["query_id", "query_year", "tconst", F.col("text").alias("title"), "kind", "year", "title_year", "source", "ordering", "base"]
+    hits = rows.drop("t_soundex").join(scored, "text").withColumns({"source": F.lit(0), "ordering": F.lit(0)}).select(*columns)
+    hits = hits.unionByName(_bare_hits(asked, rows.withColumns({"source": F.lit(0), "ordering": F.lit(0)}), lambda found: found, columns))
+    if akas is not None:
+        # a wished year or a filter belongs to the title, so only then the titles are joined
+        years = (titles if only is None else titles.filter(only)).select("tconst", F.col("startyear").alias("title_year"))
+        with_year = lambda found: found.join(years, "tconst", "left" if only is None else "inner")
+        near = others.drop("t_soundex").join(scored, "text")
+        hits = hits.unionByName(with_year(near).select("*", *none).withColumn("source", F.lit(1)).select(*columns))
+        hits = hits.unionByName(_bare_hits(asked, others.select("*", *none).withColumn("source", F.lit(1)), with_year, columns))
+    # an alternate title stands for its title without a kind
+    return hits.withColumn("score", F.col("base") - F.when(F.col("kind") == "episode", 0.2).otherwise(0.0)).filter(F.col("score") >= least).drop("base")
+
+
+def _bare_hits(asked: DataFrame, rows: DataFrame, joined: Callable[[DataFrame], DataFrame], columns: list) -> DataFrame:
+    """Hits of queries without a key: rows of the same text, EXACT_ROWS ids of each query; equal texts score as such."""
+    found = candidates(asked, rows, "text", "tconst", joined, year="title_year", keyed=False)
+    return found.withColumn("base", F.lit(1.1)).filter(F.length("query") > 0).select(*columns)
 
 
 def search_titles(queries: DataFrame, titles: DataFrame, akas: DataFrame | None = None, results: int = DEFAULT_RESULTS, only: Column | None = None, least: float = LEAST_SCORE) -> DataFrame:
@@ -100,32 +168,20 @@ def search_titles(queries: DataFrame, titles: DataFrame, akas: DataFrame | None
     kept to if any hit has it, else dropped: both cases come from one plan. Equal scores are ordered by kind, by having a
     year, then by id.
     """
-    rows = with_title_key(titles if only is None else titles.filter(only), "primarytitle")
-    hits = candidates(queries, rows.select("tconst", "primarytitle", "titletype", "startyear", "t_soundex"), "primarytitle", "tconst", year="startyear")
-    hits = hits.select("query_id", "query", "query_year", "tconst", F.col("primarytitle").alias("title"), F.col("titletype").alias("kind"), F.col("startyear").alias("year"), F.col("startyear").alias("title_year"), F.lit(0).alias("source"), F.lit(0).alias("ordering"))
-    if akas is not None:
-        others = with_title_key(akas, "title").select(F.col("titleid").alias("tconst"), F.col("title").alias("aka"), "ordering", "t_soundex")
-        # a wished year or a filter belongs to the title, so only then the titles are joined
-        years = (titles if only is None else titles.filter(only)).select("tconst", F.col("startyear").alias("title_year"))
-        joined = candidates(queries, others, "aka", "tconst", lambda found: found.join(years, "tconst", "left" if only is None else "inner"), year="title_year")
-        more = joined.select("query_id", "query", "query_year", "tconst", F.col("aka").alias("title"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("year"), "title_year", F.lit(1).alias("source"), F.col("ordering").cast("int").alias("ordering"))
-        hits = hits.unionByName(more)
-    stripped = hits.withColumns({"bare_q": keys.strip_article(F.col("query")), "bare_t": keys.strip_article(F.col("title"))})
-    query, title, bare_q, bare_t = (F.col(c) for c in ("query", "title", "bare_q", "bare_t"))
-    near = stripped.filter(close_in_length(query, title) | close_in_length(bare_q, bare_t))
-    raw = near.withColumn("direct", ratio(F.lower(query), F.lower(title))).withColumn("other", ratio(F.lower(bare_q), F.lower(bare_t)))
-    first = F.when(close_in_length(query, title), F.col("direct")).otherwise(0.0) + 0.1
-    second = F.when(close_in_length(bare_q, bare_t), F.col("other")).otherwise(0.0)
-    score = F.greatest(first, second) - F.when(F.col("kind") == "episode", 0.2).otherwise(0.0)
-    scored = raw.withColumn("score", score).filter(F.col("score") >= least)
-    best = scored.withColumn("__nr", F.row_number().over(W.partitionBy("query_id", "tconst").orderBy(F.desc("score"), "source", "ordering", "title"))).filter("__nr = 1")
+    hits = title_hits(queries, titles, akas, only, least)
+    # of a title's rows the best score, then the title itself, then the first alternate title
+    order = F.struct(-F.col("score"), "source", "ordering", "title", "kind", "year", "title_year", "query_year")
+    best = hits.groupBy("query_id", "tconst").agg(F.min(order).alias("b")).select("query_id", "tconst", (-F.col("b.col1")).alias("score"), "b.title", "b.kind", "b.year", "b.title_year", "b.query_year")
     return ranked_titles(year_relaxed(best), results)
 
 
 def year_relaxed(hits: DataFrame) -> DataFrame:
     """Hits (query_id, query_year, title_year, ...) of a query's year if it has any, else all of them."""
     met = F.col("title_year").eqNullSafe(F.col("query_year"))
-    return hits.withColumn("__met", F.max(F.col("query_year").isNotNull() & met).over(W.partitionBy("query_id"))).filter(~F.col("__met") | met).drop("__met")
+    # one flag for each query, combined before the shuffle, and the queries that have it: no task sees all hits of a query
+    granted = hits.filter(F.col("query_year").isNotNull() & met).select(F.col("query_id").alias("__granted")).distinct()
+    flagged = hits.join(granted, F.col("query_id") == F.col("__granted"), "left")
+    return flagged.filter(F.col("__granted").isNull() | met).drop("__granted")
 
 
 def ranked_titles(scored: DataFrame, results: int) -> DataFrame:
@@ -135,24 +191,32 @@ def ranked_titles(scored: DataFrame, results: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= results).select("query_id", "rank", "tconst", "title", "kind", "year", "score")
 
 
+def scored_people(queries: DataFrame, people: DataFrame, least: float) -> DataFrame:
+    """(query, name, score) of the distinct asked and known names that share one of three phonetic keys, with a score of at least ``least``."""
+    bare = lambda c: F.replace(canonical_name(F.col(c)), F.lit(","), F.lit(""))
+
+    def named(df: DataFrame, text: str, s: str) -> DataFrame:
+        one = with_name_keys(df.select(F.col(text).alias(f"text_{s}"), *[c for c in df.columns if c.endswith("_soundex")]).filter(f"text_{s} is not null").distinct(), f"text_{s}")
+        held = one.select(f"text_{s}", F.array_distinct(F.filter(F.array("ns_soundex", "sn_soundex", "s_soundex"), lambda k: k.isNotNull())).alias(f"keys_{s}"), bare(f"text_{s}").alias(f"turned_{s}"))
+        return held.withColumn("key", F.explode(f"keys_{s}"))
+
+    met = _salted(named(queries.select("query"), "query", "q"), named(people, "primaryname", "t"), "key")
+    # a pair that shares several keys counts at the first of them
+    once = met.filter(F.col("key") == F.get(F.array_intersect("keys_q", "keys_t"), F.lit(0))).drop("keys_q", "keys_t", "key")
+    query, name = F.col("text_q"), F.col("text_t")
+    same = (F.lower(F.trim(query)) == F.lower(name)) | (F.lower(F.trim(F.col("turned_q"))) == F.lower(name))
+    scored = _close(once, "turned_q", "turned_t", same, cross=True).withColumn("score", F.greatest("base", F.when(same, 2.0)))
+    return scored.filter(F.col("score") >= least).select(query.alias("query"), name.alias("name"), "score")
+
+
 def search_people(queries: DataFrame, people: DataFrame, results: int = DEFAULT_RESULTS, least: float = LEAST_SCORE) -> DataFrame:
     """(query_id, rank, nconst, name, score): the best persons for (query_id, query) names.
 
     Any of a query's three phonetic keys may meet any of a person's three. Equal scores are ordered by descending id.
     """
-    asked = _all_keys(with_name_keys(queries, "query"), ["query_id", "query"])
-    known = _all_keys(with_name_keys(people.select("nconst", "primaryname", *[c for c in people.columns if c.endswith("_soundex")])), ["nconst", "primaryname"])
-    hits = asked.join(known, "key").select("query_id", "query", "nconst", F.col("primaryname").alias("name")).distinct()
-    bare = lambda c: F.replace(canonical_name(F.col(c)), F.lit(","), F.lit(""))
-    turned = hits.withColumns({"turned_q": bare("query"), "turned_n": bare("name")})
-    query, name, turned_q, turned_n = (F.col(c) for c in ("query", "name", "turned_q", "turned_n"))
-    same = (F.lower(F.trim(query)) == F.lower(name)) | (F.lower(F.trim(turned_q)) == F.lower(name))
-    near = turned.withColumn("same", same).filter(F.col("same") | close_in_length(query, name) | close_in_length(query, turned_n))
-    raw = near.withColumn("direct", ratio(F.lower(query), F.lower(name))).withColumn("other", ratio(F.lower(turned_q), F.lower(turned_n)))
-    first = F.when(close_in_length(query, name), F.col("direct")).otherwise(0.0) + 0.1
-    second = F.when(close_in_length(query, turned_n), F.col("other")).otherwise(0.0)
-    scored = raw.withColumn("score", F.greatest(first, second, F.when(F.col("same"), 2.0))).filter(F.col("score") >= least)
-    best = scored.groupBy("query_id", "nconst").agg(F.max(F.struct("score", "name")).alias("s")).select("query_id", "nconst", "s.name", "s.score")
+    scored = scored_people(queries, people, least).join(queries.select("query_id", "query"), "query")
+    hits = people.select("nconst", F.col("primaryname").alias("name")).join(scored, "name")
+    best = hits.groupBy("query_id", "nconst").agg(F.max(F.struct("score", "name")).alias("s")).select("query_id", "nconst", "s.name", "s.score")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("nconst"))
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= results).select("query_id", "rank", "nconst", "name", "score")
 
