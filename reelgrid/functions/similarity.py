@@ -7,6 +7,7 @@ natively before (``close_in_length``), as the matcher is the expensive step.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,19 +52,52 @@ def ratio(query: Column, candidate: Column) -> Column:
     return _udf(query, candidate)
 
 
-def _ratios(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+#: Bins of characters whose counts bound a ratio from above.
+_BINS = 64
+
+
+def _bound(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """An upper bound of each pair's ratio: twice the characters that both texts have, in any order, by their lengths."""
+
+    def counted(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, one = pd.factorize(texts)
+        lengths = np.fromiter(map(len, one), np.int64, len(one))
+        points = np.frombuffer("".join(one).encode("utf-32-le", "surrogatepass"), np.uint32)
+        table = np.zeros((len(one) + 1, _BINS), np.int32)
+        np.add.at(table, (np.repeat(np.arange(len(one)), lengths), points % _BINS), 1)
+        return codes, table, np.append(lengths, 0)
+
+    ia, ca, la = counted(a)
+    ib, cb, lb = counted(b)
+    both = np.minimum(ca[ia], cb[ib]).sum(1)
+    return 2.0 * both / np.maximum(la[ia] + lb[ib], 1)
+
+
+def _ratios(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, least_direct: float, least_other: float) -> pd.DataFrame:
     from difflib import SequenceMatcher
 
-    matcher, direct, other = SequenceMatcher(None), [], []
-    for q, t, bare_q, bare_t in zip(a, b, c, d, strict=True):
-        direct.append(_score(matcher, q, t))
-        other.append(direct[-1] if (bare_q, bare_t) == (q, t) else _score(matcher, bare_q, bare_t))
-    return pd.DataFrame({"direct": pd.Series(direct, dtype="float64"), "other": pd.Series(other, dtype="float64")})
+    matcher = SequenceMatcher(None)
+    # those that cannot reach the least value are not measured; the margin is for rounding
+    open_direct, open_other = _bound(a, b) >= least_direct - 1e-9, _bound(c, d) >= least_other - 1e-9
+    direct, other = np.zeros(len(a)), np.zeros(len(a))
+    for k, (q, t, bare_q, bare_t) in enumerate(zip(a, b, c, d, strict=True)):
+        if open_direct[k]:
+            direct[k] = _score(matcher, q, t) or 0.0
+        if open_other[k]:
+            other[k] = direct[k] if open_direct[k] and (bare_q, bare_t) == (q, t) else _score(matcher, bare_q, bare_t) or 0.0
+    return pd.DataFrame({"direct": direct, "other": other})
+
+
+_TWO = T.StructType([T.StructField("direct", T.DoubleType()), T.StructField("other", T.DoubleType())])
+
 
+def two_ratios(query: Column, candidate: Column, other_query: Column, other_candidate: Column, least_direct: float = 0.0, least_other: float = 0.0) -> Column:
+    """struct(direct, other): the ratios of two pairs of texts, which are often the same pair; for pairs that are distinct already.
 
-_two = F.pandas_udf(_ratios, T.StructType([T.StructField("direct", T.DoubleType()), T.StructField("other", T.DoubleType())])).asNondeterministic()
+    A ratio that cannot reach its least value comes out as zero without being measured, one of a null text as well.
+    """
 
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        return _ratios(a, b, c, d, least_direct, least_other)
 
-def two_ratios(query: Column, candidate: Column, other_query: Column, other_candidate: Column) -> Column:
-    """struct(direct, other): the ratios of two pairs of texts, which are often the same pair; for pairs that are distinct already."""
-    return _two(query, candidate, other_query, other_candidate)
+    return F.pandas_udf(run, _TWO).asNondeterministic()(query, candidate, other_query, other_candidate)

@@ -103,10 +103,12 @@ def _salted(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Pairs of (text_q, ...) and (text_t, ...) with an equal ``key``: each key's known texts in SALTS parts, the fewer asked ones repeated for each."""
     left = asked.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     right = known.withColumn("__salt", F.pmod(F.xxhash64("text_t"), F.lit(SALTS)).cast("int"))
+    # a number of its own keeps adaptive execution from putting few texts, which make many pairs, into few tasks
+    right = right.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "__salt")
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 
-def _close(pairs: DataFrame, other_q: str, other_t: str, same: Column | None = None, cross: bool = False) -> DataFrame:
+def _close(pairs: DataFrame, other_q: str, other_t: str, least: float, same: Column | None = None, cross: bool = False) -> DataFrame:
     """``pairs`` (text_q, text_t and other forms of both) with ``base``, the larger of ratio + 0.1 and the ratio of the other forms.
 
     ``same`` names pairs that are kept whatever their lengths; ``cross`` measures the other known form against the text asked.
@@ -114,7 +116,7 @@ def _close(pairs: DataFrame, other_q: str, other_t: str, same: Column | None = N
     query, known = F.col("text_q"), F.col("text_t")
     direct, other = close_in_length(query, known), close_in_length(query if cross else F.col(other_q), F.col(other_t))
     near = pairs.filter((direct | other) if same is None else (same | direct | other))
-    raw = near.withColumn("__r", two_ratios(F.lower(query), F.lower(known), F.lower(F.col(other_q)), F.lower(F.col(other_t))))
+    raw = near.withColumn("__r", two_ratios(F.lower(query), F.lower(known), F.lower(F.col(other_q)), F.lower(F.col(other_t)), least - 0.1, least))
     first = F.when(direct, F.col("__r.direct")).otherwise(0.0) + 0.1
     second = F.when(other, F.col("__r.other")).otherwise(0.0)
     return raw.withColumn("base", F.greatest(first, second)).drop("__r")
@@ -128,7 +130,7 @@ def scored_titles(queries: DataFrame, texts: DataFrame, least: float) -> DataFra
     bare = lambda df, c: df.withColumn(f"bare_{c}", keys.strip_article(F.col(f"text_{c}")))
     asked = bare(queries.select(F.col("query").alias("text_q")).filter("text_q is not null").distinct().withColumn("t_soundex", keys.title_key(F.col("text_q"))).filter("t_soundex is not null"), "q")
     known = bare(texts.filter("t_soundex is not null").select(F.col("text").alias("text_t"), "t_soundex").distinct(), "t")
-    return _close(_salted(asked, known, "t_soundex"), "bare_q", "bare_t").filter(F.col("base") >= least).select(F.col("text_q").alias("query"), F.col("text_t").alias("text"), "base")
+    return _close(_salted(asked, known, "t_soundex"), "bare_q", "bare_t", least).filter(F.col("base") >= least).select(F.col("text_q").alias("query"), F.col("text_t").alias("text"), "base")
 
 
 def title_hits(queries: DataFrame, titles: DataFrame, akas: DataFrame | None = None, only: Column | None = None, least: float = LEAST_SCORE) -> DataFrame:
@@ -205,7 +207,7 @@ def scored_people(queries: DataFrame, people: DataFrame, least: float) -> DataFr
     once = met.filter(F.col("key") == F.get(F.array_intersect("keys_q", "keys_t"), F.lit(0))).drop("keys_q", "keys_t", "key")
     query, name = F.col("text_q"), F.col("text_t")
     same = (F.lower(F.trim(query)) == F.lower(name)) | (F.lower(F.trim(F.col("turned_q"))) == F.lower(name))
-    scored = _close(once, "turned_q", "turned_t", same, cross=True).withColumn("score", F.greatest("base", F.when(same, 2.0)))
+    scored = _close(once, "turned_q", "turned_t", least, same, cross=True).withColumn("score", F.greatest("base", F.when(same, 2.0)))
     return scored.filter(F.col("score") >= least).select(query.alias("query"), name.alias("name"), "score")
 
 

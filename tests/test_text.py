@@ -164,6 +164,9 @@ def test_similarity(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [r[0] for r in df.select(similarity.ratio(F.col("a"), F.col("b"))).collect()]
     assert got == [None if a is None else SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    two = df.filter("a is not null").select(similarity.two_ratios(F.col("a"), F.col("b"), F.col("b"), F.col("a"), 0.5, 0.6).alias("r")).collect()
+    want = [(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) for a, b in pairs if a is not None]
+    assert all(x["r"][k] == w[k] or w[k] < least for x, w in zip(two, want, strict=True) for k, least in ((0, 0.5), (1, 0.6)))
     close = spark.createDataFrame([("abc", "abcd"), ("ab", "abcd"), ("", ""), (None, "a")], "a string, b string").select(similarity.close_in_length(F.col("a"), F.col("b")))
     assert [r[0] for r in close.collect()] == [True, False, False, False]
 
