@@ -24,6 +24,7 @@ def people_text(people: Column) -> Column:
     return F.array_join(F.transform(people, shown), ", ")
 
 
+#: The labels of the cards below are fixed values.
 def title_card(long_title: Column, genres: Column, directors: Column, writers: Column, cast: Column, runtimes: Column, rating: Column, votes: Column) -> Column:
     """Summary of a title; people are arrays of structs (primaryname, roles)."""
     score = F.concat(rating.cast("string"), F.when(votes > 0, F.concat(F.lit(" ("), votes.cast("string"), F.lit(" votes)"))).otherwise(""))

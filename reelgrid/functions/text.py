@@ -153,12 +153,12 @@ def build_company(name: Column, country: Column) -> Column:
 
 # ---------------------------------------------------------------- markup, notes and dates
 
-#: The marks of references, a title's with its year and kind.
-_YEAR_MARK = rf"(?: \([0-9?]{{4}}(?:/{ROMAN})?\))?(?: \(mini\)| \(TV\)| \(V\)| \(VG\))?"
+#: Fixed value: the notation of a reference to a title, with its year, index and kind.
+TITLE_REF = r"_(.+?(?: \([0-9?]{4}(?:/[IVXLCDM]+)?\))?(?: \(mini\)| \(TV\)| \(V\)| \(VG\))?)_ \(qv\)"
 
 
 def clear_title_refs(text: Column) -> Column:
-    return F.regexp_replace(text, rf"_(.+?{_YEAR_MARK})_ \(qv\)", "$1")
+    return F.regexp_replace(text, TITLE_REF, "$1")
 
 
 def clear_name_refs(text: Column) -> Column:
@@ -235,7 +235,7 @@ def id_number(text: Column) -> Column:
 
 def bare_ids(text: Column) -> Column:
     """A list of ids without prefixes."""
-    return F.regexp_replace(text, "nm|tt", "")
+    return F.regexp_replace(text, "(?<![0-9a-zA-Z])(?:nm|tt)(?=[0-9])", "")
 
 
 def padded_id(prefix: str, number: Column) -> Column:

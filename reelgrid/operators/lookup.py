@@ -74,7 +74,9 @@ def episodes(episode: DataFrame, titles: DataFrame, ratings: DataFrame, seasons:
 
 def keyed_episodes(rows: DataFrame) -> DataFrame:
     """``rows`` of episodes with season_key and episode_key."""
-    nth = F.row_number().over(W.partitionBy("parenttconst", "seasonnumber", "episodenumber").orderBy("tconst"))
+    # rows without a number are not ranked together: their place is not used, so each stands by itself
+    alone = F.when(F.col("episodenumber").isNull(), F.xxhash64("tconst", "parenttconst"))
+    nth = F.row_number().over(W.partitionBy("parenttconst", "seasonnumber", "episodenumber", alone).orderBy("tconst"))
     return rows.withColumn("__nth", nth).withColumns({
         "season_key": F.coalesce(F.col("seasonnumber").cast("string"), F.lit(UNKNOWN_SEASON)),
         "episode_key": F.when(F.col("episodenumber").isNotNull() & (F.col("__nth") == 1), F.col("episodenumber").cast("string")).otherwise(padded("tconst")),
@@ -133,12 +135,18 @@ def akas_shape(akas: DataFrame) -> DataFrame:
     return akas.select("titleid", "ordering", blank("title").alias("title"), blank("region").alias("region"), blank("language").alias("language"), split_list(blank("types")).alias("types"), split_list(blank("attributes")).alias("attributes"), F.when(F.col("isoriginaltitle"), True).alias("original"))
 
 
+def _one_of_each(titles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of each wanted title, the first in the order of the columns shown: other titles go before anything is shuffled."""
+    mine = titles.select("tconst", "primarytitle", "titletype", "startyear").join(wanted.filter("tconst is not null").distinct(), "tconst", "left_semi")
+    return mine.groupBy("tconst").agg(F.min(F.struct("primarytitle", "titletype", "startyear")).alias("t")).select("tconst", "t.*")
+
+
 def title_detail(ids: DataFrame, titles: DataFrame, crew: DataFrame, episode: DataFrame, principals: DataFrame, people: DataFrame, ratings: DataFrame, akas: DataFrame) -> DataFrame:
     """One row per id of ``ids`` (tconst) with everything known of the title; an unknown id keeps its row."""
     mine = lambda df, key="tconst": df.join(ids.select(F.col("tconst").alias(key)), key, "left_semi")
     shape = title_shape(first_per_key(mine(titles), "tconst", [F.col("primarytitle")]))
     named = lambda field: listed_people(first_per_key(mine(crew), "tconst", [F.col(field)]), people, field).groupBy("tconst").agg(F.sort_array(F.collect_list(F.struct("pos", "nconst", "primaryname"))).alias(field))
-    top = parents(first_per_key(mine(episode), "tconst", [F.col("parenttconst")]), titles.dropDuplicates(["tconst"])).select("tconst", F.struct("parenttconst", "primarytitle", "titletype", "startyear").alias("episode_of"))
+    top = parents(first_per_key(mine(episode), "tconst", [F.col("parenttconst")]), _one_of_each(titles, mine(episode).select(F.col("parenttconst").alias("tconst")))).select("tconst", F.struct("parenttconst", "primarytitle", "titletype", "startyear").alias("episode_of"))
     roles = by_category(credits(mine(principals), people)).groupBy("tconst").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "persons")))).alias("people"))
     other = akas_shape(mine(akas, "titleid")).groupBy(F.col("titleid").alias("tconst")).agg(F.sort_array(F.collect_list(F.struct("ordering", "title", "region", "language", "types", "attributes", "original"))).alias("akas"))
     rating = rated(ids.select("tconst").distinct(), mine(ratings))
@@ -151,7 +159,8 @@ def title_detail(ids: DataFrame, titles: DataFrame, crew: DataFrame, episode: Da
 def person_detail(ids: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
     """One row per id of ``ids`` (nconst) with the titles that the person is known for."""
     mine = first_per_key(people.join(ids, "nconst", "left_semi"), "nconst", [F.col("primaryname")])
-    films = known_for(mine, titles.dropDuplicates(["tconst"])).groupBy("nconst").agg(F.sort_array(F.collect_list(F.struct("pos", "tconst", "primarytitle", "startyear"))).alias("known_for"))
+    wanted = mine.select(F.explode(split_list(F.col("knownfortitles"))).alias("tconst"))
+    films = known_for(mine, _one_of_each(titles, wanted)).groupBy("nconst").agg(F.sort_array(F.collect_list(F.struct("pos", "tconst", "primarytitle", "startyear"))).alias("known_for"))
     shown = mine.select("nconst", F.nullif("primaryname", F.lit("")).alias("name"), "birthyear", "deathyear", F.nullif("primaryprofession", F.lit("")).alias("profession"))
     return ids.select("nconst").distinct().join(shown, "nconst", "left").join(films, "nconst", "left")
 

@@ -164,11 +164,11 @@ def canonical_name(spark: SparkSession, folder: str) -> DataFrame:
 _SUFFIX = "|".join(text.SUFFIXES)
 
 
-@query(f"""WITH bare AS (SELECT DISTINCT nconst, primaryname, regexp_replace(trim(regexp_replace(primaryname, '\\s+', ' ', 'g')), '(?i)((^| )({_SUFFIX})[.,]*)+$', '') AS b FROM name_basics WHERE NOT contains(primaryname, ', ')),
+@query(f"""WITH bare AS (SELECT DISTINCT nconst, primaryname, regexp_replace(trim(regexp_replace(primaryname, '\\s+', ' ', 'g')), '(?i)((^| )({_SUFFIX})[.,]*)+$', '') AS b FROM name_basics),
     {_canonical_names("bare", "b", "nconst, primaryname")}
     SELECT nconst, primaryname AS name, CASE WHEN contains(canonical, ', ') THEN regexp_replace(canonical, '(?s)^.*?, ', '') ELSE '' END AS first_name, string_split(canonical, ', ')[1] AS last_name FROM named""")
 def name_split(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "name_basics").select("nconst", "primaryname").distinct().filter(~F.col("primaryname").contains(", "))
+    names = table(spark, folder, "name_basics").select("nconst", "primaryname").distinct()
     return names.select("nconst", F.col("primaryname").alias("name"), text.split_name(F.col("primaryname")).alias("s")).select("nconst", "name", F.col("s.first").alias("first_name"), F.col("s.last").alias("last_name"))
 
 
@@ -470,23 +470,6 @@ def title_parts(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-@query()
-def title_detail(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of the titles of one query's hits, with lists as JSON; whole catalogues are ``title_parts``."""
-    ids = title_search_ranked(spark, folder).select("tconst").distinct()
-    one = lambda name: table(spark, folder, name).drop("loaded_at").distinct()
-    people = one("name_basics").select("nconst", "primaryname").distinct()
-    found = lookup.title_detail(ids, one("title_basics"), one("title_crew"), one("title_episode"), one("title_principals"), people, one("title_ratings"), one("title_akas"))
-    return found.select(*[F.to_json(c).alias(c) if k.startswith(("array", "map", "struct")) else F.col(c) for c, k in found.dtypes])
-
-
-@query()
-def person_detail(spark: SparkSession, folder: str) -> DataFrame:
-    people = _people(spark, folder)
-    found = lookup.person_detail(people.select("nconst").distinct(), people, _titles(spark, folder))
-    return found.select(*[F.to_json(c).alias(c) if k.startswith("array") else F.col(c) for c, k in found.dtypes])
-
-
 # ---------------------------------------------------------------- orders
 
 
@@ -514,12 +497,11 @@ def long_title(spark: SparkSession, folder: str) -> DataFrame:
     return _titles(spark, folder).select("tconst", text.build_title(F.col("primarytitle"), text.mapped_kind(F.col("titletype")), F.col("startyear"), F.lit(None).cast("string")).alias("long_title"))
 
 
-@query(f"WITH {_BASICS_SQL} SELECT tconst, primarytitle AS title, startyear AS year FROM basics WHERE titletype = 'movie' AND regexp_full_match(primarytitle, '[A-Z][A-Za-z ]*[a-z]') AND primarytitle NOT LIKE '% aka %'")
+@query(f"WITH {_BASICS_SQL} SELECT tconst, primarytitle AS title, startyear AS year FROM basics WHERE primarytitle <> ''")
 def long_title_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Long titles of all plainly named films, built and taken apart again."""
-    films = _titles(spark, folder).filter("titletype = 'movie'").filter(F.col("primarytitle").rlike("^[A-Z][A-Za-z ]*[a-z]$") & ~F.col("primarytitle").contains(" aka "))
-    long = text.build_title(F.col("primarytitle"), F.col("titletype"), F.col("startyear"), F.lit(None).cast("string"))
-    return films.select("tconst", analyze_title(long).alias("t")).select("tconst", "t.title", "t.year")
+    """Long titles of all titles, as films, built and taken apart again."""
+    long = text.build_title(F.col("primarytitle"), F.lit("movie"), F.col("startyear"), F.lit(None).cast("string"))
+    return _titles(spark, folder).filter("primarytitle <> ''").select("tconst", analyze_title(long).alias("t")).select("tconst", "t.title", "t.year")
 
 
 @query("SELECT tconst, regexp_extract(url, '\\b(nm|tt|ch|co)([0-9]{7,8})\\b', 1) AS kind, regexp_extract(url, '\\b(nm|tt|ch|co)([0-9]{7,8})\\b', 2) AS id FROM (SELECT DISTINCT tconst, 'https://films.example/title/' || tconst || '/?ref=1' AS url FROM title_basics)")
@@ -565,9 +547,9 @@ def _xml_sql(t: str) -> str:
 
 
 @query(f"""WITH {_BASICS_SQL} SELECT tconst, '<movie id="' || tconst || '"><title>' || {_xml_sql("coalesce(primarytitle, '')")} || '</title>' || coalesce('<kind>' || titletype || '</kind>', '') || coalesce('<year type="int">' || CAST(startyear AS VARCHAR) || '</year>', '') || '</movie>' AS xml FROM basics
-    WHERE NOT contains(coalesce(primarytitle, ''), '::') AND NOT contains(coalesce(primarytitle, ''), '&')""")
+    """)
 def xml_row(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _titles(spark, folder).filter(~F.coalesce("primarytitle", F.lit("")).contains("::") & ~F.coalesce("primarytitle", F.lit("")).contains("&"))
+    rows = _titles(spark, folder)
     parts = [render.element("kind", F.col("titletype"), "string"), render.element("year", F.col("startyear"), "int")]
     return rows.select("tconst", render.container("movie", "title", F.col("tconst"), F.col("primarytitle"), parts).alias("xml"))
 

@@ -104,12 +104,19 @@ def typed(rows: DataFrame, archive: str) -> DataFrame:
     return base.withColumns(derived(table)) if table in DERIVED else base
 
 
-def validate(spark: SparkSession, path: str) -> dict:
-    """Full read of one archive: its name, size and row count; an invalid or empty one is an error naming the line."""
+def validate(spark: SparkSession, path: str, stage: str | None = None) -> dict:
+    """Full read of one archive: its name, size and row count; an invalid or empty one is an error naming the line.
+
+    With a ``stage`` the records are written there as they are read, so that loading need not unpack the archive again.
+    """
     name = path.rsplit("/", 1)[-1]
     header(spark, path)
     try:
-        got = records(lines(spark, path), name).agg(F.count(F.lit(1)).alias("rows"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line_no"))).alias("error"), F.min(F.when(F.col("error").isNotNull(), F.col("line_no"))).alias("line")).first()
+        found = records(lines(spark, path), name)
+        if stage:
+            found.write.parquet(f"{stage}/{name}")
+            found = spark.read.schema(found.schema).parquet(f"{stage}/{name}")
+        got = found.agg(F.count(F.lit(1)).alias("rows"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("line_no"))).alias("error"), F.min(F.when(F.col("error").isNotNull(), F.col("line_no"))).alias("line")).first()
     except Exception as e:
         raise DataAccessError(f"{name}: unreadable gzip archive") from e
     if got["error"]:
@@ -119,7 +126,7 @@ def validate(spark: SparkSession, path: str) -> dict:
     return {"name": name, "size": Files(spark).size(path), "rows": got["rows"]}
 
 
-def validate_folder(spark: SparkSession, folder: str) -> list[dict]:
+def validate_folder(spark: SparkSession, folder: str, stage: str | None = None) -> list[dict]:
     """Validation of all seven archives of a folder."""
     files = Files(spark)
     if not files.is_folder(folder):
@@ -133,7 +140,7 @@ def validate_folder(spark: SparkSession, folder: str) -> list[dict]:
         raise DataAccessError(f"missing required dataset: {', '.join(missing)}")
     if odd := [n for n in found if not files.is_file(f"{folder}/{n}")]:
         raise DataAccessError(f"not a regular file: {', '.join(odd)}")
-    return [validate(spark, f"{folder}/{n}") for n in found]
+    return [validate(spark, f"{folder}/{n}", stage) for n in found]
 
 
 def check_destination(path: str) -> str:
@@ -148,7 +155,15 @@ def load(spark: SparkSession, folder: str, destination: str, cleanup: bool = Fal
     """Load a folder of archives into ``destination``; the manifest is returned and written beside the archives."""
     destination = check_destination(destination)
     files = Files(spark)
-    checked = validate_folder(spark, folder)
+    raw = f"{destination}.raw-{uuid.uuid4().hex}"
+    try:
+        return _load(spark, files, folder, destination, raw, cleanup)
+    finally:
+        files.delete(raw)
+
+
+def _load(spark: SparkSession, files: Files, folder: str, destination: str, raw: str, cleanup: bool) -> dict:
+    checked = validate_folder(spark, folder, raw)
     manifest = {"status": "preflight-complete", "destination": destination, "files": [{"name": c["name"], "size": c["size"], "source_rows": c["rows"], "imported_rows": None} for c in checked], "removed": []}
     note = lambda **x: (manifest.update(x), files.write_text(f"{folder}/{MANIFEST}", json.dumps(manifest, indent=1)))
     note()
@@ -157,7 +172,9 @@ def load(spark: SparkSession, folder: str, destination: str, cleanup: bool = Fal
         for entry in manifest["files"]:
             name, table = entry["name"], table_of(entry["name"])
             out = f"{staging}/{table}.parquet"
-            typed(records(lines(spark, f"{folder}/{name}"), name), name).sortWithinPartitions(sort_key(table)).write.parquet(out)
+            rows = typed(spark.read.schema("line_no long, error string, fields array<string>").parquet(f"{raw}/{name}"), name)
+            # ranges of the key, so that a relation has as many files as it needs and lookups skip most of them
+            rows.repartitionByRange(sort_key(table)).sortWithinPartitions(sort_key(table)).write.parquet(out)
             entry["imported_rows"] = spark.read.parquet(out).count()
             if entry["imported_rows"] != entry["source_rows"]:
                 raise DataAccessError(f"{name}: {entry['imported_rows']} rows imported of {entry['source_rows']}")
@@ -191,6 +208,20 @@ def sort_key(table: str) -> str:
     return {"title_basics": "t_soundex", "title_akas": "titleId", "name_basics": "s_soundex", "title_episode": "parentTconst"}.get(table, "tconst")
 
 
+def write_archive(rows: DataFrame, folder: str, name: str) -> None:
+    """Write text columns, named as in the header and with null marks, as the archive ``name`` of a folder."""
+    files = Files(rows.sparkSession)
+    head = rows.sparkSession.createDataFrame([("\t".join(ARCHIVES[name]),)], "value string").withColumn("k", F.lit(0))
+    beside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    body = rows.select(F.concat_ws("\t", *[F.col(f"`{c}`") for c in ARCHIVES[name]]).alias("value"), F.lit(1).alias("k"))
+    # one gzip file is what an archive is; its header comes first
+    head.unionAll(body).coalesce(1).sortWithinPartitions("k").select("value").write.option("compression", "gzip").option("lineSep", "\n").text(beside)
+    if files.exists(f"{folder}/{name}"):
+        files.delete(f"{folder}/{name}")
+    files.rename(f"{beside}/{next(n for n in files.names(beside) if n.startswith('part-'))}", f"{folder}/{name}")
+    files.delete(beside)
+
+
 def sample(spark: SparkSession, folder: str, out: str, count: int | None = None, percent: int | None = None, tail: bool = True) -> dict[str, int]:
     """Reduced archives below ``out``: the first and last ``count`` lines, or ``percent`` of the lines half from each end.
 
