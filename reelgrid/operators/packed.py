@@ -4,7 +4,8 @@ Method. Ordinary characters of a field are masked, which leaves its *delimiter s
 ``a, "a, a"``). Every distinct skeleton gets its splitting rule once, from a small quote-aware resolver: a list of
 (first token, number of tokens, quoted) triples. The rules are joined to the rows by skeleton and the values are cut out
 by position, inside the JVM. Distinct skeletons are few (packed fields are short lists), but nothing guarantees it, so
-their number and bytes are measured and they are broadcast below a bound only; beyond it the join shuffles by skeleton.
+their number and bytes are measured and they are broadcast whole below a bound only; beyond it the most frequent ones are broadcast
+and the rows of the rare ones are joined by skeleton.
 
 Defined results. A null, empty or blank field has no values. Empty places (``a,,b``) are no values and do not count as
 positions. A value standing twice counts at both places. Blanks around a value and the quotes around it do not belong to
@@ -34,7 +35,9 @@ TOKENS = f"(?s)[^{_SPECIAL}]+|(?:{_BLANK})+|."
 KINDS = ("text", "id")
 
 RULE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("quoted", T.BooleanType())]))
-RULES = T.StructType([T.StructField("rule_kind", T.StringType()), T.StructField("skeleton", T.StringType()), T.StructField("rule", RULE)])
+RULES = T.StructType([T.StructField("rule_kind", T.StringType()), T.StructField("skeleton", T.StringType()), T.StructField("n", T.LongType()), T.StructField("rule", RULE)])
+#: Rules that are broadcast where all are too many: so many of the most frequent ones, of skeletons up to so many characters.
+FREQUENT, FREQUENT_LENGTH = 20_000, 400
 
 
 def skeleton(field: Column) -> Column:
@@ -97,12 +100,13 @@ def resolve(shape: str, kind: str) -> list[tuple[int, int, bool]]:
 def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rules = [[{"start": s, "length": k, "quoted": q} for s, k, q in resolve(x, kind)] for kind, x in zip(b["rule_kind"], b["skeleton"], strict=True)]
-        yield pd.DataFrame({"rule_kind": b["rule_kind"], "skeleton": b["skeleton"], "rule": rules})
+        yield pd.DataFrame({"rule_kind": b["rule_kind"], "skeleton": b["skeleton"], "n": b["n"], "rule": rules})
 
 
 def rules_of(shapes: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 << 20) -> tuple[DataFrame, bool]:
     """Rules of the distinct (rule_kind, skeleton) rows, and whether they are few enough to be broadcast."""
-    rules = session.cut(shapes.distinct().mapInPandas(_resolved, RULES), "packed-rules")
+    counted = shapes.groupBy("rule_kind", "skeleton").agg(F.count(F.lit(1)).alias("n"))
+    rules = session.cut(counted.mapInPandas(_resolved, RULES), "packed-rules")
     size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("skeleton") + 12 * F.size("rule")), F.lit(0)).alias("b")).first()
     return rules, size["n"] <= most_rows and size["b"] <= most_bytes
 
@@ -112,8 +116,15 @@ def _ruled(df: DataFrame, field: str, kind: str | Column, **bounds: int) -> Data
     kind = F.lit(kind) if isinstance(kind, str) else kind
     rows = df.withColumns({"__kind": kind, "__shape": F.coalesce(skeleton(F.col(f"`{field}`")), F.lit(""))})
     rules, few = rules_of(rows.select(F.col("__kind").alias("rule_kind"), F.col("__shape").alias("skeleton")), **bounds)
-    rules = rules.select(F.col("rule_kind").alias("__kind"), F.col("skeleton").alias("__shape"), F.col("rule").alias("__rule"))
-    return rows.join(F.broadcast(rules) if few else rules, ["__kind", "__shape"], "left").drop("__kind", "__shape")
+    named = lambda r: r.select(F.col("rule_kind").alias("__kind"), F.col("skeleton").alias("__shape"), F.col("rule").alias("__rule"))
+    keys = ["__kind", "__shape"]
+    if few:
+        return rows.join(F.broadcast(named(rules)), keys, "left").drop(*keys)
+    # frequent skeletons, which would be hot keys of a join, are broadcast; those left are rare, each in fewer rows than any of these
+    frequent = session.cut(rules.filter(F.length("skeleton") <= FREQUENT_LENGTH).orderBy(F.desc("n"), "rule_kind", "skeleton").limit(FREQUENT), "frequent-rules")
+    first = rows.join(F.broadcast(named(frequent)), keys, "left")
+    rare = rules.join(F.broadcast(frequent.select("rule_kind", "skeleton")), ["rule_kind", "skeleton"], "left_anti")
+    return first.filter("__rule is not null").unionByName(first.filter("__rule is null").drop("__rule").join(named(rare), keys, "left")).drop(*keys)
 
 
 def _values(ruled: DataFrame, field: str, into: str) -> DataFrame:

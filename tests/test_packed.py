@@ -57,3 +57,10 @@ def test_empty_table(spark):
 def test_skeleton(spark):
     df = spark.createDataFrame([('Drama, "Music, Live"',)], "v string")
     assert df.select(packed.skeleton(F.col("v"))).first()[0] == 'a, "a, a"'
+
+
+def test_frequent_rules_are_broadcast_and_rare_ones_joined(spark, monkeypatch):
+    monkeypatch.setattr(packed, "FREQUENT", 2)
+    df = spark.createDataFrame([(k, kind, v) for k, (kind, v, _) in enumerate(CASES)] + [(1000 + k, "text", "a,b") for k in range(50)] + [(2000, None, "a,b"), (2001, "text", None)], "k int, kind string, v string")
+    got = {r["k"]: r["vals"] for r in packed.split_packed(df, "v", F.col("kind"), most_rows=1).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(CASES)} | {1000 + k: ["a", "b"] for k in range(50)} | {2000: [], 2001: []}
