@@ -62,7 +62,9 @@ def together(rows: DataFrame, baskets: int, least_shared: int, least_lift: int,
     distinct = rows.filter("basket is not null and item is not null").select("basket", "item").distinct()
     marginals = distinct.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     possible = marginals.filter((F.col("n") >= least_shared) & (F.col("n").cast(_BIG) * least_lift <= F.lit(baskets)))
-    kept = session.cut(distinct.join(possible, "item"), "cooccur")
+    # items in more than baskets / least_lift baskets number at most rows * least_lift / baskets, some for each item that a basket holds
+    hot = marginals.filter(F.col("n").cast(_BIG) * least_lift > F.lit(baskets)).select("item")
+    kept = session.cut(distinct.join(F.broadcast(hot), "item", "left_anti").join(possible, "item"), "cooccur")
     sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
     giants = sizes.filter(F.col("n") > most_items).count()
     if giants:
