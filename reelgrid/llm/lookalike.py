@@ -131,7 +131,10 @@ def mapped(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else shown(t, table))
+        out = pd.Series(None, index=texts.index, dtype=object)
+        mine = texts.notna()
+        out[mine] = [shown(t, table) for t in texts[mine]]
+        return out
 
     plain = text.rlike("^[\\x20-\\x7e]*$")
     return F.coalesce(run(F.when(~plain, text)), text)

@@ -9,6 +9,7 @@ from reelgrid import session
 from reelgrid.llm import bpe, cooccur, lookalike, mix, residue, topn
 from reelgrid.operators.packed import split_packed
 from reelgrid.session import table
+from reelgrid.sources.files import Files
 
 # ---------------------------------------------------------------- problem 2
 
@@ -62,10 +63,17 @@ def _classes(texts: dict[str, DataFrame]) -> DataFrame:
     return lookalike.classes(texts["name"].select("text").unionAll(texts["title"].select("text")).unionAll(texts["aka"].select("text")))
 
 
+#: Bytes of the written texts of classes with different texts, up to which they are broadcast; beyond it records and texts are joined by text.
+MOST_VARIANTS = 16 << 20
+
+
 def _members(spark: SparkSession, folder: str) -> DataFrame:
     """(src, parent_key, rec_key, text, canonical) of the records whose text is in a class of different texts, written once."""
     texts = _texts(spark, folder)
-    varied = session.cut(lookalike.variants(_classes(texts)), "variants")
+    path = session.written(lookalike.variants(_classes(texts)), "variants")
+    varied = spark.read.schema("text string, canonical string").parquet(path)
+    if Files(spark).size(path) <= MOST_VARIANTS:
+        varied = F.broadcast(varied)
     no_parent = F.lit(None).cast("string").alias("parent_key")
     records = [df.select(F.lit(src).alias("src"), F.col("parent_key") if src == "aka" else no_parent, "rec_key", "text") for src, df in texts.items()]
     return session.cut(lookalike.members(records[0].unionAll(records[1]).unionAll(records[2]), varied), "members")
