@@ -179,9 +179,16 @@ def decisive(line: Column) -> Column:
     return line.rlike(_STRONG) | line.rlike(_STATUS) | line.rlike(_NEGATED) | line.rlike(f"^(?:{_WARNED})$")
 
 
+def _anywhere(*parts: str) -> str:
+    """Pattern of words at their beginnings, for a search only: the sign before a word is taken, which costs less than looking behind at every place."""
+    return r"(?iu)(?:^|[^\p{L}\p{N}])(?:" + "|".join(p.removeprefix(_EDGE) for p in parts) + ")"
+
+
 def hinted(text: Column) -> Column:
     """Whether a text has a decisive term or a mark of machine output at all, so that its lines have to be weighed."""
-    return text.rlike(_STRONG) | text.rlike(_STATUS) | text.rlike(_NEGATED) | text.rlike(r"\bat [^\n]+\(|line \d|\"(?i:status|statusCode|code|errors?|message|detail)\"")
+    # one pattern, as each one has to decode the text
+    marks = r"[45]\p{N}\p{N}(?![\p{N}\p{L}])|at [^\n]+\(|line \d|(?:status|statuscode|code|errors?|message|detail)\"|[" + "".join(sorted({w[0] for w in STRONG_CJK.split("|")})) + "]"
+    return text.rlike(_anywhere(_words(STRONG), _NEGATED, marks) + "|" + f"(?:{STRONG_CJK})")
 
 
 #: How many letters of the vocabulary a statement has for one in other words, and before its title is known.
@@ -211,6 +218,12 @@ def filler_line(line: Column) -> Column:
     return latin | line.rlike(_EDGE + "(?:" + DRAFT_ALONE + r")(?![\p{L}\p{N}])") & (other <= 2) | (noted & line.rlike(_DRAFTED + "|" + _EDGE + "(?:" + DRAFT_ALONE + "|written|added|done|continued)"))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, which are computed once for each row: a later filter on them is not pushed to where it would compute them again."""
+    made = df.withColumn("__made", F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    return made.select(*df.columns, "__made.*")
+
+
 def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hosts: int = 2, least_alone: int = 20, least_share: float = 0.0001, least_titles: int = 3) -> DataFrame:
     """(doc_id, evidence) of the flagged documents; evidence is placeholder, filler, recurring or notice.
 
@@ -222,11 +235,11 @@ def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hos
     real = docs.select("doc_id", "text", "source", "tconst").filter(F.col("text").rlike(r"\S"))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\u00a0"))), lambda x: x != "")
     barred = lambda x, k: (k == 0) & x.rlike(f"^{_BAR}$") & F.col("text").rlike(r"^\s*[^\n]+\n\s*\n")
-    split = real.withColumn("lines", lines).withColumn("side", F.filter("lines", lambda x, k: x.rlike(f"^(?:{FURNITURE})$") | barred(x, k)))
+    split = _once(_once(real, lines=lines), side=F.filter("lines", lambda x, k: x.rlike(f"^(?:{FURNITURE})$") | barred(x, k)))
     body = F.filter("lines", lambda x, k: ~(x.rlike(f"^(?:{FURNITURE})$") | barred(x, k)))
     # the title in the furniture: of a heading, else the end of a breadcrumb, else the start of a title bar
     cut = lambda x: F.coalesce(*[F.nullif(F.regexp_extract(x, f"^{p}$", g), F.lit("")) for p, g in ((_HEADING, 2), (_CRUMBS, 1), (_BAR, 1))])
-    headed = split.withColumn("body", body).withColumn("head", F.get(F.filter(F.transform("side", cut), lambda h: h.isNotNull()), F.lit(0)))
+    headed = _once(split, body=F.when(F.size("side") == 0, F.col("lines")).otherwise(body), head=F.get(F.filter(F.transform("side", cut), lambda h: h.isNotNull()), F.lit(0)))
     framed = (F.size("body") > 0) & (F.size("side") > 0)
     bare = F.when(F.col("head").isNotNull(), F.transform("body", lambda x: F.replace(x, F.col("head"), F.lit("\u00a4")))).otherwise(F.col("body"))
     output = machine(F.col("body"))
@@ -234,12 +247,13 @@ def residue(docs: DataFrame, titles: DataFrame, least_copies: int = 5, least_hos
     low = hinted(F.col("text")) & (F.size("body") > 0) & (output | (F.forall("said", lambda x: statement(x, OPEN_SHARE)) & F.exists("said", decisive)))
     # a share is taken of lines and of sentences, where a text has a word of the kind at all
     pieces = F.flatten(F.transform("lines", lambda x: F.concat(F.array(x), F.split(x, r"(?<=[.!?])\s+"))))
-    drafted = F.col("text").rlike(f"{_DRAFTED}|(?i)" + _EDGE + f"(?:ipsum|dolor|{DRAFT_ALONE}|added|done|continued)") & F.exists(pieces, filler_line)
+    drafted = F.col("text").rlike(_anywhere(_DRAFTED, f"(?:ipsum|dolor|{DRAFT_ALONE}|added|done|continued)")) & F.exists(pieces, filler_line)
     filler = matches(F.col("text"), (_LATIN_RUN, FILLER_FORM)) | drafted
-    judged = headed.withColumn("said", bare).withColumns({"placeholder": unfilled(F.col("text")), "filler": filler, "framed": framed, "low": low})
-    first = F.when(F.col("placeholder"), "placeholder").when(F.col("filler"), "filler")
+    # in this order, as each is only asked where those before it have not decided
+    first = F.when(unfilled(F.col("text")), "placeholder").when(filler, "filler")
+    judged = _once(_once(_once(headed, said=bare, framed=framed), sure=first), low=F.col("sure").isNull() & low)
     # the texts are read once: what is flagged or framed is written, and it is little
-    kept = judged.withColumn("sure", first).filter("sure is not null or framed or low")
+    kept = judged.filter("sure is not null or framed or low")
     held = session.cut(kept.select("doc_id", "source", "tconst", "sure", "framed", "low", "head", F.when(F.col("sure").isNull(), F.col("said")).alias("said")), "residue")
     sure = held.filter("sure is not null").select("doc_id", F.col("sure").alias("evidence"))
     named = titles.filter("tconst is not null and title is not null").groupBy("tconst").agg(F.min("title").alias("title"))
