@@ -6,7 +6,7 @@ lookups are one-row DataFrames of ids, so the same plans serve one id and millio
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -29,8 +29,8 @@ def available_systems() -> tuple[str, ...]:
 class Catalog:
     """A stored catalogue, opened read-only; relations are read when they are needed."""
 
-    def __init__(self, spark: SparkSession, path: str, results: int | str = search.DEFAULT_RESULTS) -> None:
-        self.spark, self.path, self.results = spark, path.rstrip("/"), self._count(results)
+    def __init__(self, spark: SparkSession, path: str, results: int | str = search.DEFAULT_RESULTS, modify: Callable[[str], str] | None = None) -> None:
+        self.spark, self.path, self.results, self.modify = spark, path.rstrip("/"), self._count(results), modify
         self._open: dict[str, DataFrame] = {}
 
     @classmethod
@@ -96,7 +96,7 @@ class Catalog:
         return lookup.title_detail(self._ids(ids, "tconst"), *[self.table(n) for n in names])
 
     def title(self, key: int | str) -> Record:
-        return Record(self.titles([key]).first(), "movie")
+        return Record(self.titles([key]).first(), "movie", self.modify)
 
     def episodes(self, series: int | str, seasons: Iterable[int | str] | int | str | None = None) -> DataFrame:
         """Episodes of a series, all or of some seasons."""
@@ -109,7 +109,7 @@ class Catalog:
         return lookup.person_detail(self._ids(ids, "nconst"), self.table("name_basics"), self.table("title_basics"))
 
     def person(self, key: int | str) -> Record:
-        return Record(self.people([key]).first(), "person")
+        return Record(self.people([key]).first(), "person", self.modify)
 
     def by_url(self, url: str) -> Record | None:
         """The title or person whose id stands in an address; None without one."""
@@ -120,6 +120,34 @@ class Catalog:
             raise DataAccessError(f"no records of kind {found['kind']}")
         return self.title(found["id"]) if found["kind"] == "tt" else self.person(found["id"])
 
+    # ------------------------------------------------------------ updates
+
+    def update(self, record: Record, parts: str | Iterable[str] = "main", override: bool = False) -> None:
+        """Merge parts of a record into what it holds: a name, several, or "all"; parts that it has are read again with ``override`` only."""
+        known = TITLE_PARTS if record.kind == "movie" else PERSON_PARTS
+        wanted = known if parts == "all" else [parts] if isinstance(parts, str) else list(parts)
+        if record.key() is None:
+            raise DataAccessError("a record without an id cannot be updated")
+        for part in dict.fromkeys(self.part(record.kind, name) for name in wanted):
+            if part in record.parts and not override:
+                continue
+            if part == "episodes":
+                self.update_seasons(record, None, override)
+            else:
+                row = self.titles([record.key()]) if record.kind == "movie" else self.people([record.key()])
+                record.merge(Record(row.first(), record.kind).data)
+            record.parts.add(part)
+
+    def update_seasons(self, record: Record, seasons: Iterable[int | str] | int | str | None, override: bool = False) -> None:
+        """Merge episodes of some seasons of a series, or of all, by season and episode key; seasons that it has stay unless ``override``."""
+        held = record.data.setdefault("episodes", {})
+        for row in self.episodes(record.key(), seasons).collect():  # one series, as its record holds it
+            if override or row["season_key"] not in record.seasons:
+                held.setdefault(row["season_key"], {})[row["episode_key"]] = {k: v for k, v in row.asDict(recursive=True).items() if v not in (None, "", [])}
+        record.seasons.update(held)
+        if not held:
+            del record.data["episodes"]
+
     def part(self, kind: str, name: str) -> str:
         """The part of a record that a name stands for; an unknown one is an error."""
         known = TITLE_PARTS if kind == "movie" else PERSON_PARTS
@@ -141,6 +169,30 @@ class Record:
     def __init__(self, row: Row | None, kind: str, modify=None) -> None:  # noqa: ANN001
         data = {} if row is None else row.asDict(recursive=True)
         self.kind, self.data, self._modify = kind, {k: v for k, v in data.items() if v not in (None, "", [])}, modify
+        self.parts: set[str] = {"main"} if self.data else set()
+        self.seasons: set[str] = set()
+
+    def merge(self, values: dict[str, Any]) -> None:
+        """Take over values where there are any; a nested record is merged key by key, and what is not told anew stays."""
+        for key, value in values.items():
+            if value in (None, "", []):
+                continue
+            if isinstance(value, dict) and isinstance(self.data.get(key), dict):
+                self.data[key] = {**self.data[key], **value}
+            else:
+                self.data[key] = value
+
+    def _modified(self, value: Any, depth: int = 2) -> Any:
+        """Texts through the modifier, also those in lists and records, two levels down."""
+        if self._modify is None or isinstance(value, bool | int | float):
+            return value
+        if isinstance(value, str):
+            return self._modify(value)
+        if depth and isinstance(value, list):
+            return [self._modified(v, depth - 1) for v in value]
+        if depth and isinstance(value, dict):
+            return {k: self._modified(v, depth - 1) for k, v in value.items()}
+        return value
 
     def _computed(self, key: str) -> Any:
         if self.kind == "movie" and key == "long title" and "title" in self.data:
@@ -157,7 +209,7 @@ class Record:
             value = self._computed(key)
         if value is None:
             raise KeyError(key)
-        return self._modify(value) if self._modify and isinstance(value, str) else value
+        return self._modified(value)
 
     def get(self, key: str, default: Any = None) -> Any:
         try:

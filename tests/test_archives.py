@@ -156,3 +156,31 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in" / "part-2.tsv").write_text("tt3\t1.0\t1\n")
     append(good, str(tmp_path / "good"), str(tmp_path / "c1")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "good")).count() == 3
+
+
+def test_updates_of_a_record(spark, loaded):
+    from reelgrid.catalog import Record
+
+    with Catalog.open(spark, loaded[1]) as c:
+        series = c.title(3)
+        series.data["note"], series.data["kind"] = "mine", "changed"
+        c.update(series)  # the main part is there already
+        assert series["kind"] == "changed" and "episodes" not in series
+        c.update(series, ["main", "episodes"], override=True)
+        assert series["kind"] == "tv series" and series["note"] == "mine" and series["episodes"]["1"]["1"]["title_primarytitle"] == "Pilot"
+        c.update_seasons(series, [1])
+        assert list(series["episodes"]) == ["1"] and series.seasons == {"1"}
+        movie = c.title(1)
+        c.update(movie, "all")
+        assert "episodes" not in movie and movie.parts == {"main", "episodes"}
+        with pytest.raises(DataAccessError):
+            c.update(movie, "songs")
+        with pytest.raises(DataAccessError):
+            c.update(Record(None, "movie"))
+        record = Record(None, "movie")
+        record.merge({"a": {"x": 1}, "b": "", "c": [1]})
+        record.merge({"a": {"y": 2}, "c": [], "b": "z"})
+        assert record.data == {"a": {"x": 1, "y": 2}, "c": [1], "b": "z"}
+    with Catalog.open(spark, loaded[1], modify=str.upper) as c:
+        movie = c.title(1)
+        assert movie["title"] == "EXAMPLE MOVIE" and movie["akas"][0]["title"] == "EXAMPLE ALTERNATE" and movie["rating"] == 7.5
