@@ -266,12 +266,16 @@ def loaded_relations(spark: SparkSession, folder: str) -> DataFrame:
     out = f"{session.shared_dir(spark)}/reelgrid/{spark.sparkContext.applicationId}/archives-{abs(hash(folder))}"
     destination = f"{out}-loaded"
     found = []
-    for archive, names in ARCHIVES.items():
+
+    def packed(archive: str) -> None:
+        names = ARCHIVES[archive]
         rows = table(spark, folder, table_of(archive)).select(*[c.lower() for c in names]).distinct()
         for c in (n for n in names if n in archives.IDS):
             rows = rows.filter(F.col(c.lower()).isNotNull())
         raw = lambda c: F.coalesce(F.col(c.lower()).cast("int").cast("string") if TYPES.get(c) == "boolean" else F.col(c.lower()).cast("string"), F.lit("\\N"))
         archives.write_archive(rows.select(*[raw(c).alias(c) for c in names]), out, archive)
+
+    archives.each(packed, ARCHIVES)
     archives.load(spark, out, destination)
     for archive in ARCHIVES:
         name = table_of(archive)

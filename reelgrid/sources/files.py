@@ -42,6 +42,21 @@ class Files:
         if not fs.rename(where, self._jvm.org.apache.hadoop.fs.Path(b)):
             raise OSError(f"cannot rename {a} to {b}")
 
+    def joined(self, parts: list[str], path: str) -> None:
+        """Write the bytes of several files, one after another, as one file."""
+        fs, where = self._at(path)
+        out = fs.create(where, True)
+        try:
+            for part in parts:
+                source, at = self._at(part)
+                stream = source.open(at)
+                try:
+                    self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+                finally:
+                    stream.close()
+        finally:
+            out.close()
+
     def delete(self, path: str) -> None:
         fs, where = self._at(path)
         fs.delete(where, True)

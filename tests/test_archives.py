@@ -184,3 +184,15 @@ def test_updates_of_a_record(spark, loaded):
     with Catalog.open(spark, loaded[1], modify=str.upper) as c:
         movie = c.title(1)
         assert movie["title"] == "EXAMPLE MOVIE" and movie["akas"][0]["title"] == "EXAMPLE ALTERNATE" and movie["rating"] == 7.5
+
+
+def test_archives_are_packed_and_parsed_by_many_tasks(spark, tmp_path):
+    name = "title.ratings.tsv.gz"
+    rows = spark.range(0, 4000, 1, 4).selectExpr("concat('tt', id) as tconst", "'7.5' as averageRating", "'\\\\N' as numVotes")
+    archives.write_archive(rows, str(tmp_path / "in"), name)
+    packed = (tmp_path / "in" / name).read_bytes()
+    lines = gzip.decompress(packed).decode().splitlines()
+    assert lines[0].split("\t") == list(ARCHIVES[name]) and sorted(lines[1:]) == sorted(f"tt{k}\t7.5\t\\N" for k in range(4000))
+    assert packed.count(b"\x1f\x8b\x08\x00") >= 5  # the header's member and one of each task
+    assert archives.validate(spark, str(tmp_path / "in" / name), str(tmp_path / "raw"))["rows"] == 4000
+    assert len(list((tmp_path / "raw" / name).glob("*.parquet"))) > 1
