@@ -1,14 +1,15 @@
 """Visually identical text with different characters (problem 5).
 
-Method. Texts are mapped first, then the mapped values are grouped in SQL under the accent- and case-sensitive Unicode collation
-``UNICODE``; each class gets a deterministic canonical member, which is joined back to the texts.
+Method. Texts are mapped first, then all mapped values are grouped by their sort key under the accent- and case-sensitive Unicode
+collation ``UNICODE``: two values have one key if and only if they are equal under it. Each class gets a deterministic canonical member.
+Every text is mapped once and gets its key once; one exchange makes texts distinct and a second one brings a class together.
 
 The mapping is built by rules, not listed: full-width, half-width, font, no-break and ligature forms from the Unicode character
 database, letters that look alike from the confusables relation of the ICU library that Spark ships (each to the member of
 its class with the same case, a Latin one where there is any), blanks to an ordinary blank, invisible and control characters
 to nothing. Texts are decomposed before and composed after it, which puts combining marks into canonical order and reaches the base
-of composed letters. Spark has no normal forms, so this step is an Arrow UDF; texts of printable ASCII are their
-own mapped form and are not sent to it.
+of composed letters. Spark has no normal forms, so both are called in the ICU library that it ships, by ``java_method``;
+nothing goes through Python. Texts of printable ASCII are their own mapped form.
 
 The canonical member of a class is the one that equals its mapped form, else the shortest, else the first by code point.
 
@@ -26,8 +27,7 @@ import unicodedata
 import zipfile
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNICODE = "UNICODE"
@@ -36,6 +36,8 @@ _INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x1
 #: The hyphen's own forms; a small i without its dot and a long s are seen as such.
 _HYPHENS, _SEEN = (0x2010, 0x2011), (0x0131, 0x017F)
 _FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
+#: Stands for a character that becomes several; a noncharacter. A text that holds it itself is only looked at more closely.
+_MARK = "\uffff"
 
 
 def icu_jar() -> str:
@@ -124,30 +126,53 @@ def shown(text: str, table: dict[int, str]) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(table))
 
 
-def mapped(text: Column) -> Column:
-    """The text with look-alikes, widths, blanks and invisible characters made plain, composed and in canonical order."""
+@lru_cache(1)
+def _translation() -> tuple[str, str, dict[str, str]]:
+    """``mapping`` for ``translate``: characters, what replaces them (none for those at the end), and those that become several, which are marked first."""
+    table = mapping()
+    several = {chr(code): to for code, to in table.items() if len(to) > 1}
+    one = {chr(code): to for code, to in table.items() if len(to) == 1} | dict.fromkeys(several, _MARK)
+    return "".join(one) + "".join(chr(code) for code, to in table.items() if not to), "".join(one.values()), several
+
+
+def _normal(form: str, text: Column) -> Column:
+    """The ``decompose``d or ``compose``d text (NFD, NFC); as Spark takes such calls for not deterministic, they are made where they stand, once."""
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(form), text, F.lit(False))
 
-    table = mapping()  # some thousand entries, which go along with the function
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        out = pd.Series(None, index=texts.index, dtype=object)
-        mine = texts.notna()
-        out[mine] = [shown(t, table) for t in texts[mine]]
-        return out
+def with_mapped(texts: DataFrame) -> DataFrame:
+    """``texts`` (text) with ``mapped``: look-alikes, widths, blanks and invisible characters made plain, composed and in canonical order."""
+    old, new, several = _translation()
+    rare = "".join(several)
+    longer = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    # texts with a character that becomes several are few: these characters are replaced one after the other, the rest as in all texts
+    there = F.split(F.call_function("translate", F.col("parts"), F.translate("parts", rare, ""), F.lit("")), "")
+    spelled = F.aggregate(F.array_distinct(there), F.col("parts"), lambda text, c: F.replace(text, c, F.coalesce(F.element_at(longer, c), c)))
+    split = texts.withColumn("parts", F.when(~F.col("text").rlike("^[\\x20-\\x7e]*\\z"), _normal("decompose", F.col("text"))))
+    plain = split.withColumn("plain", F.translate("parts", old, new))
+    plain = plain.withColumn("plain", F.when(F.contains("plain", F.lit(_MARK)), F.translate(spelled, old, new)).otherwise(F.col("plain")))
+    return plain.withColumn("mapped", F.when(F.col("parts").isNull(), F.col("text")).otherwise(_normal("compose", F.col("plain")))).drop("parts", "plain")
 
-    plain = text.rlike("^[\\x20-\\x7e]*$")
-    return F.coalesce(run(F.when(~plain, text)), text)
+
+def collation_key(spark: SparkSession, text: Column) -> Column:
+    """The sort key of a text under the collation, which Spark's own joins of collated texts compare too; SQL has no name for it."""
+    jvm = spark.sparkContext._jvm
+    bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    key = jvm.org.apache.spark.sql.catalyst.expressions.CollationKey(bridge.expression(F.collate(text, UNICODE)._jc))
+    return type(text)(bridge.column(key))
 
 
 def classes(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(text, canonical, n_forms) of every distinct non-null text; n_forms is the number of its class's distinct texts."""
-    forms = texts.select(F.col(f"`{text}`").alias("text")).filter("text is not null").distinct().withColumn("mapped", mapped(F.col("text")))
-    best = F.min(F.struct(F.col("text") != F.col("mapped"), F.length("text").alias("len"), "text"))
-    same = forms.groupBy("mapped").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).withColumn("key", F.expr(f"collate(mapped, '{UNICODE}')"))
-    grouped = same.groupBy("key").agg(F.sum("n").alias("n_forms"), F.min("best").alias("top")).select("key", "n_forms", F.col("top.text").alias("canonical"))
-    known = same.select("mapped", "key").join(grouped, "key").select("mapped", "canonical", "n_forms")
-    return forms.join(known, "mapped").select("text", "canonical", "n_forms")
+    """(text, canonical, n_forms) of every distinct non-null text; n_forms is the number of its class's distinct texts.
+
+    The texts of a class meet in one task, which spills where they do not fit into memory.
+    """
+    forms = with_mapped(texts.select(F.col(f"`{text}`").alias("text")).filter("text is not null").distinct())
+    keyed = forms.select("text", (F.col("text") != F.col("mapped")).alias("other"), collation_key(texts.sparkSession, F.col("mapped")).alias("key"))
+    # the hash makes the sort cheap, the key decides
+    own = Window.partitionBy(F.xxhash64("key"), "key")
+    best = F.min(F.struct("other", F.length("text").alias("len"), "text")).over(own)
+    return keyed.select("text", best["text"].alias("canonical"), F.count(F.lit(1)).over(own).alias("n_forms"))
 
 
 def variants(classed: DataFrame) -> DataFrame:
